@@ -102,8 +102,8 @@ def approximate_topk(
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
-    """(n_exact, n_found, recall): the share of exact matches that the approximate search found too."""
-    key = ["sample_id", "version", "index_id"]
+    """(n_exact, n_found, recall): the share of exactly ranked ids that the approximate search found too."""
+    key = ["sample_id", "version_pos", "index_id"]
     flagged = exact.select(*key).join(found.select(*key).withColumn("hit", F.lit(1)), key, "left")
     return flagged.agg(
         F.count("*").alias("n_exact"),

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-import re
+import uuid
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from traincover.functions.text import WHITESPACE
 from traincover.sources.tars import BATCH_BYTES, MemberReader
 
 
@@ -26,6 +26,26 @@ class Encoder(Protocol):
         """(n, dim) for n texts or n image byte strings; a row with a NaN marks an item it cannot encode."""
 
 
+class _Buckets(dict):
+    """Token to bucket, filled on demand and emptied when it grows too large."""
+
+    LIMIT = 1_000_000
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __reduce__(self):
+        return _Buckets, (self.dim,)
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        digest = hashlib.md5(token.encode("utf-8"), usedforsecurity=False).digest()
+        bucket = self[token] = int.from_bytes(digest[:2], "big") % self.dim
+        return bucket
+
+
 class HashedTokenEncoder:
     """Bag-of-words text vectors: tokens counted in md5 buckets.
 
@@ -33,27 +53,16 @@ class HashedTokenEncoder:
     first four hex digits of the md5, modulo `dim`.
     """
 
-    _CACHE = 1_000_000
-
     def __init__(self, dim: int = 1024):
         self.dim = dim
-        self._split = re.compile(f"[^{re.escape(WHITESPACE)}]+")
-        self._buckets: dict[str, int] = {}
-
-    def _bucket(self, token: str) -> int:
-        bucket = self._buckets.get(token)
-        if bucket is None:
-            if len(self._buckets) >= self._CACHE:
-                self._buckets.clear()
-            digest = hashlib.md5(token.encode("utf-8"), usedforsecurity=False).digest()
-            bucket = self._buckets[token] = int.from_bytes(digest[:2], "big") % self.dim
-        return bucket
+        self._buckets = _Buckets(dim)
 
     def encode(self, items: list) -> np.ndarray:
-        counts = np.zeros((len(items), self.dim), dtype=np.float64)
+        counts = np.zeros((len(items), self.dim), dtype=np.float32)
         for row, text in enumerate(items):
-            tokens = self._split.findall(text.lower())
-            counts[row] = np.bincount([self._bucket(t) for t in tokens], minlength=self.dim) if tokens else 0.0
+            tokens = list(map(self._buckets.__getitem__, text.lower().split()))
+            if tokens:
+                counts[row] = np.bincount(tokens, minlength=self.dim)
         return counts
 
 
@@ -76,6 +85,23 @@ def _vector_column(matrix: np.ndarray, rows: np.ndarray, total: int) -> pa.Array
     )
 
 
+_IN_WORKER: dict[str, Encoder] = {}
+
+
+def _ship(rows: DataFrame, encoder: Encoder):
+    """A function that gives tasks their worker's copy of the encoder, unpacked once per worker process."""
+    packed, key = rows.sparkSession.sparkContext.broadcast(cloudpickle.dumps(encoder)), uuid.uuid4().hex
+
+    def unpack() -> Encoder:
+        if key not in _IN_WORKER:
+            while len(_IN_WORKER) >= 4:  # an image and a text encoder, of this job and the last
+                _IN_WORKER.pop(next(iter(_IN_WORKER)))
+            _IN_WORKER[key] = cloudpickle.loads(packed.value)
+        return _IN_WORKER[key]
+
+    return unpack
+
+
 def _with_vectors(rows: DataFrame, out: str) -> T.StructType:
     return T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
@@ -86,11 +112,11 @@ def embed_texts(rows: DataFrame, encoder: Encoder, text: str = "text", out: str
     A text repeated within a batch is encoded once; that needs no shuffle and a text that half the rows share costs
     next to nothing.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(encoder)
+    unpack = _ship(rows, encoder)
     at = rows.columns.index(text)
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared.value
+        encoder = unpack()
         for batch in batches:
             texts = batch.column(at).to_pylist()
             slots = {t: i for i, t in enumerate(dict.fromkeys(t for t in texts if t))}
@@ -108,11 +134,11 @@ def embed_images(rows: DataFrame, encoder: Encoder, path: str = "image_path", ou
 
     Bytes are read and encoded in one task, in steps bounded by bytes: they never enter the JVM.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(encoder)
+    unpack = _ship(rows, encoder)
     at = rows.columns.index(path)
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, reader = shared.value, MemberReader()
+        encoder, reader = unpack(), MemberReader()
         for batch in batches:
             found, vectors, waiting, held = [], [], [], 0
             for row, address in enumerate(batch.column(at).to_pylist()):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traincover.operators import ann, topk
+from traincover.session import stage
 from traincover.sources.vectors import IMAGE, TEXT, active_versions
 
 MATCH_COLUMNS = (
@@ -22,49 +23,65 @@ def _version_place(active: list[str]) -> Column:
     return F.array_position(F.array(*[F.lit(v) for v in active]).cast("array<string>"), F.col("version")).cast("int")
 
 
-def attach_details(
-    ranked: DataFrame, details: DataFrame, channel: str, active: list[str], small: bool = False
-) -> DataFrame:
-    """Fetch the metadata of ranked ids, in a second scan that reads no vectors.
+def attach_details(ranked: DataFrame, details: DataFrame, channel: str, active: list[str]) -> DataFrame:
+    """The match rows of ranked ids. `details` carries the metadata by `index_id`, and by `version` unless ids are
+    unique over all versions.
 
-    `small` tells that the ranked rows are few enough to broadcast.
+    The ranking is staged, so its size is known: when it is small (an evaluation set's always is), its keys are
+    broadcast to pick the wanted metadata in one scan that shuffles nothing and reads no vectors.
     """
     names = F.array(*[F.lit(v) for v in active]).cast("array<string>")
+    ranked = stage(ranked, "ranked")
     keyed = ranked.withColumn("version", F.element_at(names, F.col("version_pos"))).drop("version_pos")
-    details = details.select("version", "index_id", "image_path", "text", "annotation", "source")
-    found = details.join(F.broadcast(keyed) if small else keyed, ["version", "index_id"])
+    key = [name for name in ("version", "index_id") if name in details.columns]
+    details = details.select(*key, "image_path", "text", "annotation", "source")
+    if ranked.count() <= topk.BROADCAST_MATCHES:
+        details = details.join(F.broadcast(keyed.select(*key).distinct()), key, "left_semi")
     source = F.coalesce("source", F.lit(""))
     if len(active) > 1:
         source = F.format_string("[%s] %s", F.col("version"), source)
-    return found.withColumns({"channel": F.lit(channel), "source": source}).select(*MATCH_COLUMNS)
+    filled = {name: F.coalesce(name, F.lit("")) for name in ("image_path", "text", "annotation")}
+    return keyed.join(details, key, "left").withColumns(
+        {"channel": F.lit(channel), "source": source, **filled}
+    ).select(*MATCH_COLUMNS)
 
 
-def search(
+def rank(
     queries: DataFrame,
     vectors: DataFrame,
     channel: str,
+    active: list[str],
     k: int = 5,
-    versions: list[str] | None = None,
     index: ann.CellIndex | None = None,
     nprobe: int = 8,
     broadcast_queries: int = topk.BROADCAST_QUERIES,
+) -> DataFrame:
+    """(sample_id, rank, score, version_pos, index_id) of the k best rows per query, over the active versions."""
+    corpus = _in_versions(vectors, channel, active).withColumn("version_pos", _version_place(active))
+    if index is None:
+        return topk.topk(queries, corpus, k, broadcast_queries)
+    return ann.approximate_topk(queries, corpus, k, index, nprobe)
+
+
+def search(
+    queries: DataFrame,
+    vectors: DataFrame,
+    channel: str,
+    versions: list[str] | None = None,
+    details: DataFrame | None = None,
+    **options,
 ) -> DataFrame:
     """The k most similar training rows of every query, merged over the versions, best first.
 
     `queries`: sample_id, embedding. `channel` is the modality searched. With several active versions the source
-    gets a `[version]` prefix. Exact by default; `index` asks for the approximate search in `nprobe` cells.
+    gets a `[version]` prefix. Exact by default; option `index` asks for the approximate search in `nprobe` cells.
+    `details` names the metadata table where the vectors do not carry it themselves.
     """
     active = active_versions(vectors, versions)
-    corpus = _in_versions(vectors, channel, active)
-    placed = corpus.withColumn("version_pos", _version_place(active))
-    if index is None:
-        ranked = topk.topk(queries, placed, k, broadcast_queries)
-    else:
-        ranked = ann.approximate_topk(queries, placed, k, index, nprobe)
-    # A proven bound on the number of result rows decides how their metadata is fetched.
-    bound = topk.BROADCAST_MATCHES // k
-    small = queries.select("sample_id").limit(bound + 1).count() <= bound
-    return attach_details(ranked, corpus, channel, active, small)
+    ranked = rank(queries, vectors, channel, active, **options)
+    if details is None:
+        details = _in_versions(vectors, channel, active)
+    return attach_details(ranked, details, channel, active)
 
 
 def search_images(queries: DataFrame, vectors: DataFrame, **options) -> DataFrame:

@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from traincover.functions import jsonpath, paths, text, vectors
 from traincover.operators import ann, coverage, embed, fields, ids, quality, search, topk
 from traincover.plans import evaluate, export
-from traincover.session import configure, spread, stage
+from traincover.session import configure, spread
 from traincover.sources import annotations, benchmark
 from traincover.sources import vectors as table
 
 TOP_K = 5
-THRESHOLD = 0.4
+THRESHOLD = 0.35
 SHARDS = 8
 ENCODER = embed.HashedTokenEncoder(1024)
 
@@ -38,24 +38,18 @@ def _rounded(column: str, digits: int = 6) -> Column:
 
 
 def image_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the vector table, modality image, one version per label."""
-    described = _read(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("vec_id"), F.col("source").alias("text"), F.col("text").alias("annotation"),
-        F.col("lang").alias("source"),
-    )
-    return _read(spark, sf_dir, "embeddings").join(described, "vec_id", "left").select(
-        F.col("vec_id").alias("index_id"), "embedding",
-        F.format_string("img/%d.jpg", "vec_id").alias("image_path"), "text", "annotation", "source",
-        F.col("vec_id").alias("global_id"), F.format_string("v%d", "label").alias("version"),
+    """Image rows of the vector table, one version per label. Their metadata is in `image_details`."""
+    return _read(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("index_id"), "embedding", F.format_string("v%d", "label").alias("version"),
         F.lit(table.IMAGE).alias("modality"),
     )
 
 
-def _text_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata by id: the source is the name, the text the annotation."""
     return _read(spark, sf_dir, "documents").select(
-        F.lit(table.DEFAULT_VERSION).alias("version"), F.col("doc_id").alias("index_id"),
-        F.format_string("img/%d.jpg", "doc_id").alias("image_path"), F.col("source").alias("text"),
-        F.col("text").alias("annotation"), F.col("lang").alias("source"),
+        F.col("doc_id").alias("index_id"), F.format_string("img/%d.jpg", "doc_id").alias("image_path"),
+        F.col("source").alias("text"), F.col("text").alias("annotation"), F.col("lang").alias("source"),
     )
 
 
@@ -89,10 +83,11 @@ def _image_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images of the evaluation samples against all versions, and against a selection with an unknown name."""
     queries, corpus = _image_queries(spark, sf_dir), image_vectors(spark, sf_dir)
+    details = document_details(spark, sf_dir)
     columns = ["sample_id", "rank", "version", "index_id", _rounded("score"), "image_path", "text", "source"]
     selections = {"all": None, "some": ["v7", "v2", "unknown"], "one": ["v3"]}
     results = [
-        search.search_images(queries, corpus, k=TOP_K, versions=versions).select(
+        search.search_images(queries, corpus, k=TOP_K, versions=versions, details=details).select(
             F.lit(name).alias("selection"), *columns
         )
         for name, versions in selections.items()
@@ -102,17 +97,23 @@ def search_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def version_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors per version; the text-only default version is not listed."""
-    texts = _text_details(spark, sf_dir).select("version", F.lit(table.TEXT).alias("modality"))
+    texts = _read(spark, sf_dir, "documents").select(
+        F.lit(table.DEFAULT_VERSION).alias("version"), F.lit(table.TEXT).alias("modality")
+    )
     images = image_vectors(spark, sf_dir).select("version", "modality")
     return table.versions(images.unionByName(texts))
 
 
-def _text_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _text_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = document_vectors(spark, sf_dir).select(
         F.lit(1).alias("version_pos"), F.col("doc_id").alias("index_id"), "embedding"
     )
-    ranked = topk.topk(benchmark_vectors(spark, sf_dir), corpus, TOP_K)
-    return search.attach_details(ranked, _text_details(spark, sf_dir), table.TEXT, [table.DEFAULT_VERSION])
+    return topk.topk(benchmark_vectors(spark, sf_dir), corpus, TOP_K)
+
+
+def _text_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    details = document_details(spark, sf_dir)
+    return search.attach_details(_text_ranking(spark, sf_dir), details, table.TEXT, [table.DEFAULT_VERSION])
 
 
 def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,19 +141,19 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text matches per score band."""
-    banded = _text_matches(spark, sf_dir).withColumn("band", coverage.score_band(F.col("score")))
+    banded = _text_ranking(spark, sf_dir).withColumn("band", coverage.score_band(F.col("score")))
     return banded.groupBy("band").agg(F.count("*").alias("n"))
 
 
 def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the exact matches that the approximate search finds, by the number of cells probed."""
     queries, corpus = _image_queries(spark, sf_dir), image_vectors(spark, sf_dir)
-    index = ann.fit_cells(_read(spark, sf_dir, "embeddings"), cells=16)
-    exact = search.search_images(queries, corpus, k=TOP_K)
+    active = table.active_versions(corpus)
+    index = ann.fit_cells(corpus, cells=16)
+    exact = search.rank(queries, corpus, table.IMAGE, active, k=TOP_K)
     reports = [
-        ann.recall(search.search_images(queries, corpus, k=TOP_K, index=index, nprobe=nprobe), exact).select(
-            F.lit(nprobe).alias("nprobe"), "n_exact", "n_found", "recall"
-        )
+        ann.recall(search.rank(queries, corpus, table.IMAGE, active, k=TOP_K, index=index, nprobe=nprobe), exact)
+        .select(F.lit(nprobe).alias("nprobe"), "n_exact", "n_found", "recall")
         for nprobe in (1, 4, 16)
     ]
     return reports[0].unionByName(reports[1]).unionByName(reports[2])
@@ -167,12 +168,14 @@ def evaluation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sample_id"), F.col("text").alias("query_text")),
         "sample_id",
     )
+    corpus = image_vectors(spark, sf_dir)
+    active = table.active_versions(corpus)
     # One place more than asked for makes up for the row that is left out.
-    images = search.search_images(_image_queries(spark, sf_dir), image_vectors(spark, sf_dir), k=TOP_K + 1)
-    by_rank = Window.partitionBy("sample_id").orderBy("rank")
-    others = images.where(F.col("index_id") != F.col("sample_id")).withColumn("rank", F.row_number().over(by_rank))
-    matches = others.where(F.col("rank") <= TOP_K).unionByName(_text_matches(spark, sf_dir))
-    return samples, stage(matches.join(samples.select("sample_id"), "sample_id", "left_semi"), "matches")
+    ranked = search.rank(_image_queries(spark, sf_dir), corpus, table.IMAGE, active, k=TOP_K + 1)
+    others = topk.final_ranking(ranked.where(F.col("index_id") != F.col("sample_id")).drop("rank"), TOP_K)
+    images = search.attach_details(others, document_details(spark, sf_dir), table.IMAGE, active)
+    matches = images.unionByName(_text_matches(spark, sf_dir))
+    return samples, matches.join(samples.select("sample_id"), "sample_id", "left_semi")
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

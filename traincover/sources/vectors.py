@@ -52,11 +52,6 @@ def read_vectors(spark: SparkSession, root: str) -> DataFrame:
         raise
 
 
-def version_order(version):
-    """Sort key: the default version first, then by name."""
-    return F.struct((version != DEFAULT_VERSION).alias("named"), version.alias("name"))
-
-
 def versions(vectors: DataFrame) -> DataFrame:
     """(version, n_image, n_text) of the versions that hold images, in search order."""
     modality = F.col("modality")
@@ -67,7 +62,7 @@ def versions(vectors: DataFrame) -> DataFrame:
             F.count_if(modality == TEXT).alias("n_text"),
         )
         .where(F.col("n_image") > 0)
-        .orderBy(version_order(F.col("version")))
+        .orderBy(F.col("version") != DEFAULT_VERSION, "version")
     )
 
 
@@ -78,10 +73,10 @@ def active_versions(vectors: DataFrame, selected: list[str] | None = None) -> li
     """
     # One row per version: names only, read from the partition folders.
     found = vectors.where(F.col("modality") == IMAGE).select("version").distinct()
-    known = [row.version for row in found.orderBy(version_order(F.col("version"))).collect()]
+    known = {row.version for row in found.collect()}
     if not selected:
-        return known
-    return [name for name in dict.fromkeys(selected) if name in set(known)]
+        return sorted(known, key=lambda name: (name != DEFAULT_VERSION, name))
+    return [name for name in dict.fromkeys(selected) if name in known]
 
 
 def duplicate_ids(vectors: DataFrame) -> DataFrame:
