@@ -19,8 +19,8 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    """True for NULL, empty and white-space-only text."""
-    return F.coalesce(strip(text), F.lit("")) == ""
+    """True for NULL, empty and white-space-only text. Looks no further than the first other character."""
+    return F.coalesce(F.ltrim(text, F.lit(WHITESPACE)), F.lit("")) == ""
 
 
 def first_filled(*texts: Column) -> Column:

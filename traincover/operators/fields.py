@@ -24,8 +24,9 @@ def nesting_depth(samples: DataFrame, json: str = "json") -> int:
     # Once escapes and strings are gone, brackets are structure only.
     bare = F.regexp_replace(F.to_json(F.col(json)), r"\\.", "")
     brackets = F.regexp_replace(F.regexp_replace(bare, '"[^"]*"', ""), r"[^\[\]{}]", "")
+    shapes = samples.select(brackets.alias("brackets")).distinct()
     steps = F.transform(
-        F.split(brackets, ""), lambda b: F.when(b.isin("[", "{"), 1).when(b.isin("]", "}"), -1).otherwise(0)
+        F.split("brackets", ""), lambda b: F.when(b.isin("[", "{"), 1).when(b.isin("]", "}"), -1).otherwise(0)
     )
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
     deepest = F.aggregate(
@@ -35,7 +36,7 @@ def nesting_depth(samples: DataFrame, json: str = "json") -> int:
         ),
         lambda seen: seen["top"],
     )
-    return samples.agg(F.coalesce(F.max(deepest), F.lit(0))).first()[0]
+    return shapes.agg(F.coalesce(F.max(deepest), F.lit(0))).first()[0]
 
 
 def text_paths(samples: DataFrame, json: str = "json", first: int | None = None, order: str = "stem") -> DataFrame:
@@ -61,7 +62,7 @@ def text_paths(samples: DataFrame, json: str = "json", first: int | None = None,
             .otherwise(F.col("path")).alias("path"),
             F.when(kind == "OBJECT", F.col("value")).when(kind == "ARRAY", head)
             .otherwise(F.col("node")).alias("node"),
-        ).where(F.col("node").isNotNull())
+        ).where(_kind(F.col("node")).isin("OBJECT", "ARRAY", "STRING"))
     leaves = nodes.where(
         (F.schema_of_variant("node") == "STRING") & ~is_blank(F.try_variant_get("node", "$", "string"))
     )

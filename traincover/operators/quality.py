@@ -30,11 +30,13 @@ def _issue(when: Column, severity: str, field: str, message: Column) -> Column:
 
 
 def issues(
-    min_length: int = 50, max_length: int = 20_000, image_readable: str | None = None
+    length: Column, min_length: int = 50, max_length: int = 20_000, image_readable: str | None = None
 ) -> Column:
-    """ARRAY<STRUCT<severity, field, message>> of one annotation row. `image_readable` names a BOOLEAN column."""
+    """ARRAY<STRUCT<severity, field, message>> of one annotation row.
+
+    `length` is the stripped length of the annotation. `image_readable` names a BOOLEAN column.
+    """
     name, text = F.col("entity_name"), F.col("annotation")
-    length = F.length(strip(text))
     blank = is_blank(text)
     rules = [
         _issue(is_blank(name), WARNING, "entity_name", F.lit(MESSAGE_NAME_BLANK)),
@@ -59,7 +61,9 @@ def check(rows: DataFrame, **options) -> DataFrame:
     def any_of(severity: str) -> Column:
         return F.exists("issues", lambda issue: issue["severity"] == severity)
 
-    checked = rows.withColumn("issues", issues(**options))
+    # Stripping walks the whole text, so its length becomes a column of its own: computed once per row.
+    measured = rows.withColumn("_length", F.length(strip(F.col("annotation"))))
+    checked = measured.withColumn("issues", issues(F.col("_length"), **options)).drop("_length")
     return checked.withColumns({
         "name": first_filled(F.col("entity_name"), F.col("image_relative_path"), F.col("data_uuid")),
         "has_error": any_of(ERROR),
@@ -128,7 +132,8 @@ def issue_fields(checked: DataFrame, order: str = "global_id") -> DataFrame:
 
 def exploded_issues(checked: DataFrame, *keep: str) -> DataFrame:
     """One row per issue."""
-    return checked.select(*keep, F.inline("issues"))
+    # The outer form keeps Catalyst from testing the size of `issues` first, which would compute every rule twice.
+    return checked.select(*keep, F.inline_outer("issues")).where(F.col("severity").isNotNull())
 
 
 def problems(

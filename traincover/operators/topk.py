@@ -29,14 +29,14 @@ BROADCAST_MATCHES = 500_000
 # Cells of one similarity matrix (float32: 16 MB).
 PAIR_CELLS = 4 << 20
 # Sizes of the blocks that meet when the queries are too many to broadcast.
-CHUNK_QUERIES = 8_192
+CHUNK_QUERIES = 32_768
 FRAGMENT_ROWS = 500_000
 
 _CORPUS_COLUMNS = ("version_pos", "index_id", "embedding")
 
 
 def to_matrix(vectors: pa.Array) -> np.ndarray:
-    """A list column as an (n, d) matrix. All vectors must have one length."""
+    """A FLOAT list column as an (n, d) matrix. All vectors must have one length."""
     lengths = pc.unique(pc.list_value_length(vectors)).to_pylist()
     if len(lengths) > 1 or (lengths and lengths[0] is None):
         raise ValueError(f"vectors of different lengths: {lengths}")
@@ -48,9 +48,8 @@ class RunningTopK:
     """The best k corpus rows seen so far for each row of a query matrix."""
 
     def __init__(self, queries: np.ndarray, k: int):
-        self.exact = np.ascontiguousarray(queries, dtype=np.float64)
-        self.rough = self.exact.astype(np.float32)
-        self.norms = np.linalg.norm(self.exact, axis=1)
+        self.queries = np.ascontiguousarray(queries, dtype=np.float32)
+        self.norms = np.linalg.norm(self.queries, axis=1)
         self.k = k
         shape = (len(queries), k)
         self.scores = np.full(shape, -np.inf)
@@ -59,17 +58,17 @@ class RunningTopK:
 
     def absorb(self, vectors: np.ndarray, places: np.ndarray, ids: np.ndarray) -> None:
         """Take in a block of corpus rows."""
-        if not len(self.exact):
+        if not len(self.queries):
             return
-        step = max(self.k, PAIR_CELLS // len(self.exact), 1)
+        step = max(self.k, PAIR_CELLS // len(self.queries), 1)
         for start in range(0, len(vectors), step):
             part = slice(start, start + step)
-            self._absorb(np.asarray(vectors[part], dtype=np.float32), vectors[part], places[part], ids[part])
+            self._absorb(vectors[part], places[part], ids[part])
 
-    def _absorb(self, rough_block, block, places, ids) -> None:
-        rough = self.rough @ rough_block.T
+    def _absorb(self, block, places, ids) -> None:
+        rough = self.queries @ block.T
         # How far a single-precision product can be off; nothing within reach of the k-th place is discarded.
-        longest = float(np.linalg.norm(rough_block, axis=1).max())
+        longest = float(np.linalg.norm(block, axis=1).max())
         slack = (block.shape[1] + 2) * 2.0**-23 * self.norms * longest + 10.0 ** -(DECIMALS - 1)
         floor = self.scores[:, -1] - slack
         if rough.shape[1] > self.k and np.isneginf(floor).any():
@@ -79,14 +78,14 @@ class RunningTopK:
         if not len(query):
             return
         if len(query) * 8 > rough.size:
-            score = (self.exact @ np.asarray(block, dtype=np.float64).T)[query, row]
+            score = (self.queries.astype(np.float64) @ block.T.astype(np.float64))[query, row]
         else:
             score = np.empty(len(query))
             width = max(1, PAIR_CELLS // max(1, block.shape[1]))
             for at in range(0, len(query), width):
                 some = slice(at, at + width)
-                pairs = np.asarray(block[row[some]], dtype=np.float64)
-                score[some] = np.einsum("ij,ij->i", self.exact[query[some]], pairs)
+                left, right = self.queries[query[some]], block[row[some]]
+                score[some] = np.einsum("ij,ij->i", left.astype(np.float64), right.astype(np.float64))
         self._merge(query, np.round(score, DECIMALS) + 0.0, places[row], ids[row])
 
     def _merge(self, query, score, place, index_id) -> None:

@@ -20,8 +20,9 @@ def _strip(text: str) -> str:
 
 _IMAGE_ROWS = """
     image_rows AS (
-        SELECT vec_id, embedding::DOUBLE[] AS v, 'v' || label AS version, 'img/' || vec_id || '.jpg' AS image_path,
-               d.source AS name, d.text AS annotation, coalesce(d.lang, '') AS lang
+        SELECT vec_id, embedding::DOUBLE[] AS v, 'v' || label AS version,
+               coalesce('img/' || d.doc_id || '.jpg', '') AS image_path, coalesce(d.source, '') AS name,
+               coalesce(d.text, '') AS annotation, coalesce(d.lang, '') AS lang
         FROM embeddings LEFT JOIN documents d ON d.doc_id = vec_id
     )"""
 
@@ -70,7 +71,7 @@ _MATCHES = _IMAGE_SCORES + "," + _TEXT_MATCHES + f""",
         SELECT item_id AS sample_id, b.text AS query_text FROM benchmark b JOIN embeddings ON vec_id = item_id
     ),
     matches AS (
-        SELECT sample_id, 'image' AS channel, rank, score, image_path, coalesce(name, '') AS text, annotation,
+        SELECT sample_id, 'image' AS channel, rank, score, image_path, name AS text, annotation,
                '[' || version || '] ' || lang AS source
         FROM image_matches
         UNION ALL

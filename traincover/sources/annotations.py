@@ -10,7 +10,7 @@ from traincover.functions.jsonpath import value_at
 from traincover.functions.paths import (
     decode_metadata_path, escape_glob, file_name, member_uri, parent, plain_path, stem,
 )
-from traincover.functions.text import strip
+from traincover.functions.text import WHITESPACE, is_blank, strip
 
 STATUS_OK, STATUS_BLANK = "ok", "blank"
 STATUS_BAD_JSON, STATUS_BAD_RECORD = "bad_json", "bad_record"
@@ -66,9 +66,17 @@ def missing_tars(spark: SparkSession, root: str) -> DataFrame:
 
 
 def decode_lines(lines: DataFrame, text: str = "value") -> DataFrame:
-    """Add `record` (VARIANT, NULL when not JSON) and `blank` to a table of lines."""
-    trimmed = strip(F.col(text))
-    return lines.withColumn("blank", trimmed == "").withColumn("record", F.try_parse_json(trimmed))
+    """Add `record` (VARIANT, NULL when not JSON) and `blank` to a table of lines.
+
+    JSON itself allows the common white space around a value; only lines that fail are tried without the rest.
+    Lines that cannot be JSON by their first character skip the parser, whose failures are slow.
+    """
+    line = F.col(text)
+    stripped = strip(line)
+    first = F.left(F.ltrim(line, F.lit(WHITESPACE)), F.lit(1))
+    promising = first.isin(*'{["-0123456789') | stripped.isin("true", "false", "null")
+    record = F.coalesce(F.try_parse_json(line), F.when(stripped != line, F.try_parse_json(stripped)))
+    return lines.withColumn("blank", is_blank(line)).withColumn("record", F.when(promising, record))
 
 
 def _first_of_type(message: Column, kind: str) -> Column:
