@@ -49,7 +49,8 @@ def index(spark, tmp_path_factory):
     names = [f"thing number{i}" for i in range(12)]
     for version, start in ((None, 0), ("2024", 12), ("v b", 24)):
         data = tree(tmp_path_factory.mktemp("data"), names, start)
-        counts = build.build_version(spark, str(data), str(root), ByteEncoder(), TEXT, version, shards=3)
+        counts = build.build_version(spark, str(data), str(root), ByteEncoder(), TEXT, version, shards=3,
+                                     huge_archives=version == "v b")
         assert counts == {"image": 8, "text": 9}
     return root
 

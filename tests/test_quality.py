@@ -71,6 +71,13 @@ def test_distributions(spark):
     assert [r.value for r in quality.top_sources(table, limit=2).collect()] == ["b", "a"]
 
 
+def test_many_values_are_ranked_alike(spark, monkeypatch):
+    table = rows(spark, *[{"source_name": f"s{i % 7}", "model_name": f"m{i % 3}"} for i in range(40)])
+    few = {tuple(r) for r in quality.distributions(table).collect()}
+    monkeypatch.setattr(quality, "WINDOW_VALUES", 1)
+    assert {tuple(r) for r in quality.distributions(table).collect()} == few
+
+
 def test_issue_fields(spark):
     checked = quality.check(rows(spark, {}, {"annotation": "y" * 20_001}, {"model_name": ""}))
     result = [tuple(r) for r in quality.issue_fields(checked).orderBy("rank").collect()]

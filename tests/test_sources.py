@@ -147,7 +147,7 @@ def test_positions(spark):
 
 def test_members_and_images(spark, tree):
     members = tars.list_members(spark, f"{tree}/*/images/*.tar").collect()
-    assert {(m.member, m.n_bytes) for m in members} >= {("珐琅/a.png", len(PNG)), ("empty.png", 0)}
+    assert {(m.member, m.member_bytes) for m in members} >= {("珐琅/a.png", len(PNG)), ("empty.png", 0)}
     (tree / "plain.png").write_bytes(PNG)
     a = f"tar://{tree}/源A/images/data_0.tar::"
     cases = {
@@ -157,10 +157,32 @@ def test_members_and_images(spark, tree):
     rows = spark.createDataFrame([(p,) for p in [*cases, None]], "image_path string")
     read = {r.image_path: r.content and bytes(r.content) for r in tars.read_images(tars.gather_by_archive(rows)).collect()}
     assert {p: read[p] or None for p in cases} == {p: d or None for p, d in cases.items()}
+    located = tars.locate(rows, tars.list_members(spark, f"{tree}/*/images/*.tar"))
+    assert {r.image_path: r.member_bytes for r in located.collect()}[a + "珐琅/a.png"] == len(PNG)
+    assert {r.image_path: r.content and bytes(r.content) for r in tars.read_images(located).collect()} == read
     ok = {r.image_path for r in tars.readable(rows).where("image_readable").collect()}
     assert ok == {a + "珐琅/a.png", f"{tree}/plain.png"}
 
 
+def test_links_and_many_archives(spark, tmp_path):
+    for i in range(20):
+        with tarfile.open(tmp_path / f"{i}.tar", "w") as tar:
+            info = tarfile.TarInfo("x/a.png")
+            info.size = len(PNG)
+            tar.addfile(info, io.BytesIO(PNG))
+            for name, kind, target in (("h.png", tarfile.LNKTYPE, "x/a.png"), ("x/s.png", tarfile.SYMTYPE, "a.png"),
+                                       ("x/loop.png", tarfile.SYMTYPE, "loop.png")):
+                link = tarfile.TarInfo(name)
+                link.type, link.linkname = kind, target
+                tar.addfile(link)
+    reader = tars.MemberReader()
+    for _ in range(2):
+        for i in range(20):
+            uri = f"tar://{tmp_path}/{i}.tar::"
+            assert reader.read(uri + "h.png") == reader.read(uri + "x/s.png") == PNG
+            assert reader.read(uri + "x/loop.png") is None
+
+
 def test_evaluation_folder(spark, tmp_path):
     folder = tmp_path / "bench [1]"
     (folder / "sub").mkdir(parents=True)

@@ -135,14 +135,12 @@ def embed_images(rows: DataFrame, encoder: Encoder, path: str = "image_path", ou
     Bytes are read and encoded in one task, in steps bounded by bytes: they never enter the JVM.
     """
     unpack = _ship(rows, encoder)
-    at = rows.columns.index(path)
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, reader = unpack(), MemberReader()
         for batch in batches:
             found, vectors, waiting, held = [], [], [], 0
-            for row, address in enumerate(batch.column(at).to_pylist()):
-                data = reader.read(address)
+            for row, data in enumerate(reader.read_batch(batch, path)):
                 if data:
                     found.append(row)
                     waiting.append(data)

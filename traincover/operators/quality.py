@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traincover.functions.text import first_filled, is_blank, strip
+from traincover.operators.ids import positions
+from traincover.session import stage
 
 # Severities, bucket label of empty values, issue messages, list lengths of the reports.
 ERROR, WARNING, INFO = "ERROR", "WARNING", "INFO"
@@ -20,6 +22,9 @@ MESSAGE_MODEL_BLANK = "打标模型名称为空"
 MESSAGE_IMAGE_UNREADABLE = "图像无法从 tar 中读取"
 TOP_SOURCES, TOP_FIELDS, LISTED_PROBLEMS = 15, 10, 200
 
+# Distinct values a single task may rank.
+WINDOW_VALUES = 1_000_000
+
 DIMENSIONS = {"source": "source_name", "model": "model_name", "dataset": "source_dataset"}
 
 
@@ -82,10 +87,20 @@ def summary(checked: DataFrame) -> DataFrame:
     )
 
 
-def _ranked(counts: DataFrame, *partition: str) -> DataFrame:
-    """Most frequent first; ties in the order of first appearance."""
-    order = Window.partitionBy(*partition).orderBy(F.desc("n"), "first_seen")
-    return counts.withColumn("rank", F.row_number().over(order))
+def _ranked(counts: DataFrame) -> DataFrame:
+    """Rank within each dimension: most frequent first, ties in the order of first appearance.
+
+    A window ranks as many values as one task can sort; more than that are ranked by a distributed sort.
+    """
+    counts = stage(counts, "counts")
+    order = [F.desc("n"), F.col("first_seen")]
+    if counts.count() <= WINDOW_VALUES:
+        return counts.withColumn("rank", F.row_number().over(Window.partitionBy("dimension").orderBy(*order)))
+    placed = positions(counts, "dimension", *order)
+    starts = placed.groupBy("dimension").agg(F.min("position").alias("start"))  # one row per dimension
+    return placed.join(F.broadcast(starts), "dimension").withColumn(
+        "rank", (F.col("position") - F.col("start") + 1).cast("int")
+    ).drop("position", "start")
 
 
 def distributions(rows: DataFrame, order: str = "global_id") -> DataFrame:
@@ -102,7 +117,7 @@ def distributions(rows: DataFrame, order: str = "global_id") -> DataFrame:
         .groupBy("entry.dimension", "entry.value")
         .agg(F.count("*").alias("n"), F.min(order).alias("first_seen"))
     )
-    return _ranked(counts, "dimension").select("dimension", "value", "n", "rank")
+    return _ranked(counts).select("dimension", "value", "n", "rank")
 
 
 def top_sources(rows: DataFrame, order: str = "global_id", limit: int = TOP_SOURCES) -> DataFrame:

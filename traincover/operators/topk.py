@@ -31,6 +31,8 @@ PAIR_CELLS = 4 << 20
 # Sizes of the blocks that meet when the queries are too many to broadcast.
 CHUNK_QUERIES = 32_768
 FRAGMENT_ROWS = 500_000
+# Partial rows that one search should not send to its final ranking.
+PARTIAL_ROWS = 200_000_000
 
 _CORPUS_COLUMNS = ("version_pos", "index_id", "embedding")
 
@@ -132,8 +134,10 @@ def _broadcast_partials(queries: pa.Table, corpus: DataFrame, k: int, schema: T.
     context = corpus.sparkSession.sparkContext
     samples = queries["sample_id"].combine_chunks()
     shared = context.broadcast((samples, to_matrix(queries["embedding"].combine_chunks())))
-    # Each task answers k rows per query, so a task should see much of the corpus: merge its splits, unshuffled.
-    corpus = corpus.coalesce(4 * context.defaultParallelism)
+    # Each task answers k rows per query, so a task should see much of the corpus: merge its splits, unshuffled, into
+    # one to four tasks per core, the fewer the more rows they answer.
+    cores = context.defaultParallelism
+    corpus = corpus.coalesce(min(4 * cores, max(cores, PARTIAL_ROWS // max(1, len(samples) * k))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         samples, matrix = shared.value

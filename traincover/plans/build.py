@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from traincover.functions.paths import escape_glob
 from traincover.functions.text import is_blank
 from traincover.operators import embed, ids, quality
+from traincover.session import release, stage
 from traincover.sources import annotations as ann
+from traincover.sources import tars
 from traincover.sources import vectors as vec
-from traincover.session import stage
 
 DEFAULT_SHARDS = 8
 
@@ -28,20 +30,24 @@ def check_dataset(annotated: DataFrame, check_images: bool = False, **thresholds
     """`quality.check`, optionally with the image audit (slow: reads every image)."""
     if not check_images:
         return quality.check(annotated, **thresholds)
-    from traincover.sources.tars import readable
-
-    return quality.check(readable(annotated), image_readable="image_readable", **thresholds)
+    return quality.check(tars.readable(annotated), image_readable="image_readable", **thresholds)
 
 
 def build_vectors(
-    annotated: DataFrame, image_encoder: embed.Encoder, text_encoder: embed.Encoder, shards: int = DEFAULT_SHARDS
+    annotated: DataFrame,
+    image_encoder: embed.Encoder,
+    text_encoder: embed.Encoder,
+    shards: int = DEFAULT_SHARDS,
+    members: DataFrame | None = None,
 ) -> DataFrame:
     """Both modalities of the vector table (without `version`), numbered shard by shard.
 
-    Embedding runs map-only on the staged annotations. Its output is staged: vectors are computed once.
+    Embedding runs map-only on the staged annotations. Its output is staged: vectors are computed once. `members`
+    (`tars.list_members`) is for archives that many tasks read from.
     """
     samples = ann.training_samples(annotated)
-    images = embed.version_vectors(embed.embed_images(samples, image_encoder), vec.IMAGE)
+    pictured = samples if members is None else tars.locate(samples, members)
+    images = embed.version_vectors(embed.embed_images(pictured, image_encoder), vec.IMAGE)
     named = samples.where(~is_blank(F.col("text")))
     texts = embed.version_vectors(embed.embed_texts(named, text_encoder), vec.TEXT)
     return ids.shard_ids(stage(images, "images"), shards).unionByName(
@@ -58,10 +64,12 @@ def build_version(
     version: str | None = None,
     shards: int = DEFAULT_SHARDS,
     run_qc: bool = True,
+    huge_archives: bool = False,
 ) -> dict[str, int]:
     """Build and store one version; returns the number of vectors per modality.
 
-    The quality report is printed; it removes nothing. A tree without valid data is an error.
+    The quality report is printed; it removes nothing. A tree without valid data is an error. With `huge_archives`
+    the archives are listed once beforehand, so that many tasks can share one without walking through it each.
     """
     vec.version_folder(index_root, version)  # a bad name fails before the work
     annotated = scan_annotations(spark, data_root, keep_raw=False)
@@ -69,6 +77,9 @@ def build_version(
         raise ValueError(f"no valid data in {data_root}")
     if run_qc:
         print(quality.report_text(check_dataset(annotated)))
-    vec.write_version(build_vectors(annotated, image_encoder, text_encoder, shards), index_root, version)
+    members = tars.list_members(spark, f"{escape_glob(data_root.rstrip('/'))}/*/images/*.tar") if huge_archives else None
+    vectors = build_vectors(annotated, image_encoder, text_encoder, shards, members)
+    vec.write_version(vectors, index_root, version)
+    release(annotated, vectors)
     stored = vec.read_vectors(spark, index_root).where(F.col("version") == (version or vec.DEFAULT_VERSION))
     return {row.modality: row["count"] for row in stored.groupBy("modality").count().collect()}

@@ -16,6 +16,8 @@ _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+_STAGED = "traincover-staged-"
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings the package needs to a running session."""
@@ -50,11 +52,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     freezes values that depend on the partitioning (row positions).
     """
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/staged-{name}-{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/{_STAGED}{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete the staged tables that these DataFrames read; nothing else they read is touched."""
+    for table in tables:
+        folders = {name.rsplit("/", 1)[0] for name in table.inputFiles()}
+        context = table.sparkSession.sparkContext
+        for folder in folders:
+            if folder.rsplit("/", 1)[1].startswith(_STAGED):
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Redistribute a *file scan* that has fewer splits than cores; larger scans pass through unshuffled."""
     cores = partitions or df.sparkSession.sparkContext.defaultParallelism
