@@ -64,21 +64,27 @@ def nearest_cells(rows: DataFrame, index: CellIndex, nprobe: int) -> DataFrame:
     return rows.mapInArrow(assign, schema)
 
 
+def house(vectors: DataFrame, index: CellIndex) -> DataFrame:
+    """Add `cell`, the cell of each vector. Store the result sorted or partitioned by it: searches then reuse the
+    assignment and skip what no query probes."""
+    housed = nearest_cells(vectors.where(F.col("embedding").isNotNull()), index, 1)
+    return housed.withColumn("cell", F.get("cells", F.lit(0))).drop("cells")
+
+
 def approximate_topk(
     queries: DataFrame, corpus: DataFrame, k: int, index: CellIndex, nprobe: int = 8
 ) -> DataFrame:
     """As `topk.topk`, but each query meets only the corpus rows of its `nprobe` nearest cells.
 
-    A cell with many rows is cut into fragments and a cell that many queries probe into chunks, so a cell holding a
+    A corpus without the column `cell` is housed first. A cell with many rows is cut into fragments and a cell that many queries probe into chunks, so a cell holding a
     third of the corpus runs as many tasks as its size calls for.
     """
     vector = F.col("embedding").cast("array<float>").alias("embedding")
     queries = queries.select("sample_id", vector).where(F.col("embedding").isNotNull())
-    corpus = corpus.select("version_pos", "index_id", vector).where(F.col("embedding").isNotNull())
+    if "cell" not in corpus.columns:
+        corpus = house(corpus.select("version_pos", "index_id", vector), index)
+    housed = corpus.select("version_pos", "index_id", vector, "cell")
     probes = nearest_cells(queries, index, nprobe).select("sample_id", "embedding", F.explode("cells").alias("cell"))
-    housed = nearest_cells(corpus, index, 1).select(
-        "version_pos", "index_id", "embedding", F.get("cells", F.lit(0)).alias("cell")
-    )
     # One row per cell (at most MAX_CELLS): how many chunks and fragments it needs.
     chunks = probes.groupBy("cell").agg(F.ceil(F.count("*") / topk.CHUNK_QUERIES).cast("int").alias("chunks"))
     fragments = housed.groupBy("cell").agg(F.ceil(F.count("*") / topk.FRAGMENT_ROWS).cast("int").alias("fragments"))

@@ -10,12 +10,16 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from traincover.sources.tars import BATCH_BYTES, MemberReader
 
+# Items handed to an encoder at a time.
+IMAGE_BATCH, TEXT_BATCH = 32, 128
+
 
 class Encoder(Protocol):
     """Picklable. Load heavy state on first use: the object stays alive in its worker across tasks."""
@@ -106,11 +110,20 @@ def _with_vectors(rows: DataFrame, out: str) -> T.StructType:
     return T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
 
-def embed_texts(rows: DataFrame, encoder: Encoder, text: str = "text", out: str = "embedding") -> DataFrame:
+def _encode(encoder: Encoder, items: list, step: int) -> np.ndarray:
+    """Unit vectors of any number of items, `step` at a time."""
+    parts = [unit_rows(encoder.encode(items[at:at + step])) for at in range(0, len(items), step)]
+    return np.concatenate(parts) if parts else np.zeros((0, encoder.dim), np.float32)
+
+
+def embed_texts(
+    rows: DataFrame, encoder: Encoder, text: str = "text", out: str = "embedding", batch_size: int = TEXT_BATCH,
+    profile: ResourceProfile | None = None,
+) -> DataFrame:
     """Add the unit vector of each text; NULL and empty texts get NULL. Filter blank texts before this call.
 
-    A text repeated within a batch is encoded once; that needs no shuffle and a text that half the rows share costs
-    next to nothing.
+    A text repeated within an Arrow batch is encoded once; that needs no shuffle and a text that half the rows share
+    costs next to nothing. `profile` asks for executors with GPUs, for encoders that want them.
     """
     unpack = _ship(rows, encoder)
     at = rows.columns.index(text)
@@ -121,18 +134,21 @@ def embed_texts(rows: DataFrame, encoder: Encoder, text: str = "text", out: str
             texts = batch.column(at).to_pylist()
             slots = {t: i for i, t in enumerate(dict.fromkeys(t for t in texts if t))}
             filled = np.array([i for i, t in enumerate(texts) if t], dtype=np.int64)
-            vectors = unit_rows(encoder.encode(list(slots))) if slots else np.zeros((0, encoder.dim), np.float32)
+            vectors = _encode(encoder, list(slots), batch_size)
             matrix = vectors[[slots[texts[i]] for i in filled]]
             column = _vector_column(matrix, filled, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, out])
 
-    return rows.mapInArrow(embed, _with_vectors(rows, out))
+    return rows.mapInArrow(embed, _with_vectors(rows, out), profile=profile)
 
 
-def embed_images(rows: DataFrame, encoder: Encoder, path: str = "image_path", out: str = "embedding") -> DataFrame:
+def embed_images(
+    rows: DataFrame, encoder: Encoder, path: str = "image_path", out: str = "embedding",
+    batch_size: int = IMAGE_BATCH, profile: ResourceProfile | None = None,
+) -> DataFrame:
     """Add the unit vector of the image behind each path; NULL where it cannot be read or encoded.
 
-    Bytes are read and encoded in one task, in steps bounded by bytes: they never enter the JVM.
+    Bytes are read and encoded in one task, in steps bounded by number and bytes: they never enter the JVM.
     """
     unpack = _ship(rows, encoder)
 
@@ -145,16 +161,14 @@ def embed_images(rows: DataFrame, encoder: Encoder, path: str = "image_path", ou
                     found.append(row)
                     waiting.append(data)
                     held += len(data)
-                if waiting and (held >= BATCH_BYTES or row == batch.num_rows - 1):
-                    vectors.append(unit_rows(encoder.encode(waiting)))
+                if len(waiting) >= batch_size or held >= BATCH_BYTES:
+                    vectors.append(_encode(encoder, waiting, batch_size))
                     waiting, held = [], 0
-            if waiting:
-                vectors.append(unit_rows(encoder.encode(waiting)))
-            matrix = np.concatenate(vectors) if vectors else np.zeros((0, encoder.dim), np.float32)
-            column = _vector_column(matrix, np.array(found, dtype=np.int64), batch.num_rows)
+            vectors.append(_encode(encoder, waiting, batch_size))
+            column = _vector_column(np.concatenate(vectors), np.array(found, dtype=np.int64), batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, out])
 
-    return rows.mapInArrow(embed, _with_vectors(rows, out))
+    return rows.mapInArrow(embed, _with_vectors(rows, out), profile=profile)
 
 
 def version_vectors(samples: DataFrame, modality: str, embedded: str = "embedding") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,17 +40,18 @@ def build_vectors(
     text_encoder: embed.Encoder,
     shards: int = DEFAULT_SHARDS,
     members: DataFrame | None = None,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Both modalities of the vector table (without `version`), numbered shard by shard.
 
     Embedding runs map-only on the staged annotations. Its output is staged: vectors are computed once. `members`
-    (`tars.list_members`) is for archives that many tasks read from.
+    (`tars.list_members`) is for archives that many tasks read from, `profile` for executors with GPUs.
     """
     samples = ann.training_samples(annotated)
     pictured = samples if members is None else tars.locate(samples, members)
-    images = embed.version_vectors(embed.embed_images(pictured, image_encoder), vec.IMAGE)
+    images = embed.version_vectors(embed.embed_images(pictured, image_encoder, profile=profile), vec.IMAGE)
     named = samples.where(~is_blank(F.col("text")))
-    texts = embed.version_vectors(embed.embed_texts(named, text_encoder), vec.TEXT)
+    texts = embed.version_vectors(embed.embed_texts(named, text_encoder, profile=profile), vec.TEXT)
     return ids.shard_ids(stage(images, "images"), shards).unionByName(
         ids.shard_ids(stage(texts, "texts"), shards)
     )
@@ -65,6 +67,7 @@ def build_version(
     shards: int = DEFAULT_SHARDS,
     run_qc: bool = True,
     huge_archives: bool = False,
+    profile: ResourceProfile | None = None,
 ) -> dict[str, int]:
     """Build and store one version; returns the number of vectors per modality.
 
@@ -78,7 +81,7 @@ def build_version(
     if run_qc:
         print(quality.report_text(check_dataset(annotated)))
     members = tars.list_members(spark, f"{escape_glob(data_root.rstrip('/'))}/*/images/*.tar") if huge_archives else None
-    vectors = build_vectors(annotated, image_encoder, text_encoder, shards, members)
+    vectors = build_vectors(annotated, image_encoder, text_encoder, shards, members, profile)
     vec.write_version(vectors, index_root, version)
     release(annotated, vectors)
     stored = vec.read_vectors(spark, index_root).where(F.col("version") == (version or vec.DEFAULT_VERSION))

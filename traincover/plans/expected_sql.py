@@ -55,7 +55,7 @@ _TEXT_MATCHES = _TEXT_VECTORS + f""",
     text_matches AS (
         SELECT item_id AS sample_id, d.doc_id AS index_id, round(coalesce(o.score, 0), 9) AS score,
                d.source AS name, d.lang, d.text AS annotation, 'img/' || d.doc_id || '.jpg' AS image_path,
-               row_number() OVER (PARTITION BY item_id ORDER BY round(coalesce(o.score, 0), 9) DESC, d.doc_id) AS rank
+               row_number() OVER (PARTITION BY item_id ORDER BY round(coalesce(o.score, 0), 9) DESC, d.doc_id)::INT AS rank
         FROM benchmark CROSS JOIN documents d
         LEFT JOIN products o ON o.sample_id = item_id AND o.doc_id = d.doc_id
         WHERE {_strip('d.text')} <> ''
@@ -64,7 +64,7 @@ _TEXT_MATCHES = _TEXT_VECTORS + f""",
 
 _MATCHES = _IMAGE_SCORES + "," + _TEXT_MATCHES + f""",
     image_matches AS (
-        SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, version, vec_id) AS rank
+        SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, version, vec_id)::INT AS rank
         FROM image_scores WHERE vec_id <> sample_id QUALIFY rank <= {TOP_K}
     ),
     samples AS (
@@ -120,7 +120,7 @@ def _selected(name: str, versions: list[str] | None) -> str:
     source = "lang" if versions and len(versions) == 1 else "'[' || version || '] ' || lang"
     return f"""
         SELECT '{name}' AS selection, sample_id,
-               row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, {place}, vec_id) AS rank,
+               row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, {place}, vec_id)::INT AS rank,
                version, vec_id AS index_id, round(score, 6) AS score, image_path, name AS text, {source} AS source
         FROM image_scores {where} QUALIFY rank <= {TOP_K}"""
 
@@ -165,7 +165,7 @@ _ISSUES = _ANNOTATED + f""",
 def _distribution(dimension: str, column: str) -> str:
     return f"""
         SELECT '{dimension}' AS dimension, coalesce(nullif({column}, ''), '{EMPTY_LABEL}') AS value, count(*) AS n,
-               row_number() OVER (ORDER BY count(*) DESC, min(global_id)) AS rank
+               row_number() OVER (ORDER BY count(*) DESC, min(global_id))::INT AS rank
         FROM annotated GROUP BY value"""
 
 
@@ -201,13 +201,13 @@ EXPECTED = {
         SELECT q.vec_id AS sample_id, c.vec_id AS index_id,
                round(list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS exact,
                round(exact, 6) AS score,
-               row_number() OVER (PARTITION BY q.vec_id ORDER BY exact DESC, c.vec_id) AS rank
+               row_number() OVER (PARTITION BY q.vec_id ORDER BY exact DESC, c.vec_id)::INT AS rank
         FROM embeddings q CROSS JOIN embeddings c QUALIFY rank <= {TOP_K}""",
     "search_versions": f"WITH {_IMAGE_SCORES} " + " UNION ALL ".join(
         f"SELECT * FROM ({_selected(name, versions)})"
         for name, versions in {"all": None, "some": ["v7", "v2"], "one": ["v3"]}.items()
     ),
-    "versions": "SELECT 'v' || label AS version, count(*) AS n_image, 0 AS n_text FROM embeddings GROUP BY label",
+    "versions": "SELECT 'v' || label AS version, count(*) AS n_image, 0::BIGINT AS n_text FROM embeddings GROUP BY label",
     "text_search": f"""WITH {_TEXT_MATCHES}
         SELECT sample_id, rank, index_id, round(score, 6) AS score, name AS text, lang AS source FROM text_matches""",
     "text_vectors": f"""WITH {_TEXT_VECTORS}
@@ -220,7 +220,7 @@ EXPECTED = {
                    unnest(range(len(v))) AS place
             FROM stretched
         )
-        SELECT vec_id, place, round(x / norm, 6) AS value FROM places""",
+        SELECT vec_id, place::INT AS place, round(x / norm, 6) AS value FROM places""",
     "score_bands": f"""WITH {_TEXT_MATCHES}
         SELECT CASE WHEN score > 0.9 THEN 'high' WHEN score > 0.7 THEN 'mid' ELSE 'low' END AS band, count(*) AS n
         FROM text_matches GROUP BY band""",
@@ -278,7 +278,7 @@ EXPECTED = {
     ]),
     "qc_issue_fields": f"""WITH {_ISSUES}
         SELECT field, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM annotated), 1)::DOUBLE AS percent,
-               row_number() OVER (ORDER BY count(*) DESC, min(global_id * 10 + place)) AS rank
+               row_number() OVER (ORDER BY count(*) DESC, min(global_id * 10 + place))::INT AS rank
         FROM issues GROUP BY field""",
     "qc_problems": f"""WITH {_ISSUES},
         listed AS (SELECT * FROM checked WHERE n_issues > 0 ORDER BY global_id LIMIT 200)
@@ -289,7 +289,7 @@ EXPECTED = {
     "qc_top_sources": f"""WITH {_ANNOTATED}
         SELECT source_name AS value, count(*) AS n FROM annotated GROUP BY source_name
         ORDER BY n DESC, min(global_id) LIMIT 15""",
-    "qc_lengths": f"WITH {_ANNOTATED} SELECT global_id, length({_strip('annotation')}) AS n_chars FROM annotated",
+    "qc_lengths": f"WITH {_ANNOTATED} SELECT global_id, length({_strip('annotation')})::INT AS n_chars FROM annotated",
     "qc_consistency": f"""WITH {_ANNOTATED}
         SELECT global_id, contains(annotation, {_strip('entity_name')})::INT AS found FROM annotated
         WHERE {_strip('entity_name')} <> '' AND {_strip('annotation')} <> ''""",

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from traincover.functions import jsonpath, paths, text, vectors
 from traincover.operators import ann, coverage, embed, fields, ids, quality, search, topk
 from traincover.plans import evaluate, export
-from traincover.session import configure, spread
+from traincover.session import configure, spread, stage
 from traincover.sources import annotations, benchmark
 from traincover.sources import vectors as table
 
@@ -150,9 +150,10 @@ def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, corpus = _image_queries(spark, sf_dir), image_vectors(spark, sf_dir)
     active = table.active_versions(corpus)
     index = ann.fit_cells(corpus, cells=16)
+    housed = stage(ann.house(corpus, index).sortWithinPartitions("cell"), "cells")
     exact = search.rank(queries, corpus, table.IMAGE, active, k=TOP_K)
     reports = [
-        ann.recall(search.rank(queries, corpus, table.IMAGE, active, k=TOP_K, index=index, nprobe=nprobe), exact)
+        ann.recall(search.rank(queries, housed, table.IMAGE, active, k=TOP_K, index=index, nprobe=nprobe), exact)
         .select(F.lit(nprobe).alias("nprobe"), "n_exact", "n_found", "recall")
         for nprobe in (1, 4, 16)
     ]
@@ -178,8 +179,10 @@ def evaluation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return samples, matches.join(samples.select("sample_id"), "sample_id", "left_semi")
 
 
-def _classified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _classified(spark: SparkSession, sf_dir: str, durable: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(classified samples, matches). Matches that are read twice are made durable first."""
     samples, matches = evaluation(spark, sf_dir)
+    matches = stage(matches, "matches") if durable else matches
     return coverage.classify(coverage.facts(samples, matches), THRESHOLD), matches
 
 
@@ -216,7 +219,7 @@ def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shown_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text-hit samples in order, with their shown and hidden matches."""
-    classified, matches = _classified(spark, sf_dir)
+    classified, matches = _classified(spark, sf_dir, durable=True)
     return evaluate.drill_down(classified, matches, THRESHOLD, coverage.ONLY_TEXT).select(
         "position", "sample_id", "channel", "n_shown", "n_hidden"
     )
@@ -224,7 +227,7 @@ def shown_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detail_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The detail export, unfolded again: one row per match."""
-    classified, matches = _classified(spark, sf_dir)
+    classified, matches = _classified(spark, sf_dir, durable=True)
     nested = export.detail(classified, matches)
     channels = F.array(
         F.struct(F.lit("image").alias("channel"), F.col("image_results").alias("results")),
@@ -237,7 +240,7 @@ def detail_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agree_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classified, matches = _classified(spark, sf_dir)
+    classified, matches = _classified(spark, sf_dir, durable=True)
     return export.agree_manifest(classified, matches, THRESHOLD)
 
 

@@ -37,9 +37,11 @@ def build_session(master: str | None = None, app: str = "traincover", **conf: st
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder for staged tables: the cluster's checkpoint folder, or an own one where none is set."""
+    """The shared folder for staged tables: the cluster's checkpoint folder, or an own one for local runs."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="traincover-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
