@@ -127,6 +127,17 @@ def test_search_merges_versions(spark, index):
     assert search.search_images(queries(spark, 13), stored, versions=["gone"]).count() == 0
 
 
+def test_single_searches(spark, index, tmp_path):
+    stored = table.read_vectors(spark, str(index))
+    (tmp_path / "q.png").write_bytes(picture(13))
+    found = evaluate.search_by_image(str(tmp_path / "q.png"), stored, ByteEncoder(), top_k=2).orderBy("rank").collect()
+    assert [r.image_path.rsplit("::", 1)[1] for r in found][0] == "13.png" and len(found) == 2
+    assert evaluate.search_by_image(str(tmp_path / "gone.png"), stored, ByteEncoder()).count() == 0
+    texts = evaluate.search_by_text("thing number1", stored, TEXT, top_k=3, versions=["2024"]).orderBy("rank").collect()
+    assert texts[0].text == "thing number1" and {r.channel for r in texts} == {"text"} and len(texts) == 3
+    assert evaluate.search_by_text("", stored, TEXT).count() == 0
+
+
 def test_unreadable_and_repeated_items(spark):
     rows = spark.createDataFrame([(1, "same words"), (2, ""), (3, None), (4, "same words"), (5, "other")],
                                  "id int, text string").coalesce(1)

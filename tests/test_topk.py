@@ -2,6 +2,8 @@
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from traincover.operators import ann, topk
@@ -82,6 +84,26 @@ def test_small_matrix_steps_give_the_same_result(data):
     ]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000), st.integers(1, 9), st.integers(1, 60), st.integers(1, 12), st.integers(1, 20))
+def test_any_split_gives_the_same_ranking(seed, n_queries, n_rows, k, step):
+    """Few distinct values make many exact ties."""
+    rng = np.random.default_rng(seed)
+    queries = rng.integers(-1, 2, (n_queries, 3)).astype(np.float32)
+    corpus = rng.integers(-1, 2, (n_rows, 3)).astype(np.float32)
+    places = rng.integers(1, 3, n_rows).astype(np.int32)
+    best = topk.RunningTopK(queries, k)
+    order = rng.permutation(n_rows)
+    for start in range(0, n_rows, step):
+        part = order[start:start + step]
+        best.absorb(corpus[part], places[part], part.astype(np.int64))
+    query, _, index_id, score = best.rows()
+    found = {f"q{i}": [] for i in range(n_queries)}
+    for q, i, s in zip(query, index_id, score):
+        found[f"q{q}"].append((len(found[f"q{q}"]) + 1, int(i), round(float(s), 7)))
+    assert found == brute(queries, corpus, k, places)
+
+
 def test_one_vector_fills_a_third_of_the_corpus(spark):
     rng = np.random.default_rng(3)
     corpus = unit(rng, 600, 8)

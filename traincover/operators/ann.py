@@ -21,7 +21,7 @@ from traincover.operators import topk
 # Vectors the cell centres are fitted on, per cell. Only the fit samples; every vector gets a cell.
 FIT_ROWS_PER_CELL = 256
 # Centres are broadcast, so their number is bounded.
-MAX_CELLS = 65_536
+MAX_CELLS = 16_384
 
 
 @dataclass(frozen=True)

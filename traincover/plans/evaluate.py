@@ -44,6 +44,22 @@ def match_samples(
     return kept, stage(found, "matches")
 
 
+def search_by_image(
+    path: str, vectors: DataFrame, encoder: embed.Encoder, top_k: int = 5, versions: list[str] | None = None
+) -> DataFrame:
+    """Matches of one image (file or archive member); none when it cannot be read."""
+    asked = vectors.sparkSession.createDataFrame([(path, path)], "sample_id string, image_path string")
+    return search.search_images(embed.embed_images(asked, encoder), vectors, k=top_k, versions=versions)
+
+
+def search_by_text(
+    text: str, vectors: DataFrame, encoder: embed.Encoder, top_k: int = 5, versions: list[str] | None = None
+) -> DataFrame:
+    """Matches of one text; none when it is empty."""
+    asked = vectors.sparkSession.createDataFrame([(text, text)], "sample_id string, text string")
+    return search.search_texts(embed.embed_texts(asked, encoder), vectors, k=top_k, versions=versions)
+
+
 def drill_down(classified: DataFrame, matches: DataFrame, threshold: float, choice: str = "all") -> DataFrame:
     """Samples under a filter with their position (from 1) and how many matches are shown and hidden per channel."""
     from traincover.operators.ids import positions
