@@ -16,7 +16,8 @@ def _step(path: Column, key: Column) -> Column:
 
 
 def _kind(node: Column) -> Column:
-    return F.regexp_extract(F.schema_of_variant(node), "^[A-Z]+", 0)
+    """OBJECT, ARRAY, STRING or another type name."""
+    return F.substring_index(F.schema_of_variant(node), "<", 1)
 
 
 def nesting_depth(samples: DataFrame, json: str = "json") -> int:
@@ -47,25 +48,26 @@ def text_paths(samples: DataFrame, json: str = "json", first: int | None = None,
     """
     if first is not None:
         samples = samples.orderBy(order).limit(first)
-    nodes = samples.select(F.lit("").alias("path"), F.col(json).alias("node"))
+    def with_kind(nodes: DataFrame) -> DataFrame:
+        # The kind walks the whole value: a column of its own is computed once per node.
+        return nodes.withColumn("kind", _kind(F.col("node"))).where(F.col("kind").isin("OBJECT", "ARRAY", "STRING"))
+
+    nodes = with_kind(samples.select(F.lit("").alias("path"), F.col(json).alias("node")))
+    kind = F.col("kind")
     for _ in range(nesting_depth(samples, json)):
-        kind = _kind(F.col("node"))
         # An object opens into its fields, a list into its first element, a leaf stays as it is.
-        nodes = nodes.withColumn("inner", F.when(kind == "OBJECT", F.col("node")))
-        opened = nodes.lateralJoin(
+        opened = nodes.withColumn("inner", F.when(kind == "OBJECT", F.col("node"))).lateralJoin(
             samples.sparkSession.tvf.variant_explode_outer(F.col("inner").outer()).select("key", "value")
         )
         head = F.try_variant_get("node", "$[0]", "variant")
-        nodes = opened.where((kind != "OBJECT") | F.col("key").isNotNull()).select(
+        nodes = with_kind(opened.where((kind != "OBJECT") | F.col("key").isNotNull()).select(
             F.when(kind == "OBJECT", _step(F.col("path"), F.col("key")))
             .when(kind == "ARRAY", F.concat("path", F.lit("[0]")))
             .otherwise(F.col("path")).alias("path"),
             F.when(kind == "OBJECT", F.col("value")).when(kind == "ARRAY", head)
             .otherwise(F.col("node")).alias("node"),
-        ).where(_kind(F.col("node")).isin("OBJECT", "ARRAY", "STRING"))
-    leaves = nodes.where(
-        (F.schema_of_variant("node") == "STRING") & ~is_blank(F.try_variant_get("node", "$", "string"))
-    )
+        ))
+    leaves = nodes.where((kind == "STRING") & ~is_blank(F.try_variant_get("node", "$", "string")))
     return leaves.where(F.col("path") != "").select("path").distinct().orderBy("path")
 
 

@@ -67,16 +67,13 @@ _MATCHES = _IMAGE_SCORES + "," + _TEXT_MATCHES + f""",
         SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, version, vec_id)::INT AS rank
         FROM image_scores WHERE vec_id <> sample_id QUALIFY rank <= {TOP_K}
     ),
-    samples AS (
-        SELECT item_id AS sample_id, b.text AS query_text FROM benchmark b JOIN embeddings ON vec_id = item_id
-    ),
+    samples AS (SELECT item_id AS sample_id, text AS query_text FROM benchmark),
     matches AS (
         SELECT sample_id, 'image' AS channel, rank, score, image_path, name AS text, annotation,
                '[' || version || '] ' || lang AS source
         FROM image_matches
         UNION ALL
-        SELECT sample_id, 'text', rank, score, image_path, name, annotation, lang
-        FROM text_matches WHERE sample_id IN (SELECT sample_id FROM samples)
+        SELECT sample_id, 'text', rank, score, image_path, name, annotation, lang FROM text_matches
     ),
     best AS (
         SELECT sample_id, query_text,

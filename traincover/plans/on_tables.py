@@ -4,7 +4,7 @@ Stand-ins for the image-and-text data of a real run:
 
 * image vectors: `embeddings`, described by the `documents` row of the same id (name = source, annotation = text);
 * text vectors: all of `documents`, embedded with the hashed-token encoder;
-* evaluation samples: `benchmark` items, each with the embedding of the same id as its image;
+* evaluation samples: all `benchmark` items; the embedding of the same id, if any, is the vector of their image;
 * annotations: `documents` with `labels`; JSONL records: `conversations`, `events` and the lines of `documents`.
 """
 
@@ -164,10 +164,9 @@ def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(samples, matches) of the evaluation samples. An image's own row is not counted as its match."""
-    samples = _image_queries(spark, sf_dir).select("sample_id").join(
-        _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sample_id"), F.col("text").alias("query_text")),
-        "sample_id",
+    """(samples, matches): every benchmark item. An image's own row is not counted as its match."""
+    samples = _read(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("sample_id"), F.col("text").alias("query_text")
     )
     corpus = image_vectors(spark, sf_dir)
     active = table.active_versions(corpus)
@@ -175,8 +174,7 @@ def evaluation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ranked = search.rank(_image_queries(spark, sf_dir), corpus, table.IMAGE, active, k=TOP_K + 1)
     others = topk.final_ranking(ranked.where(F.col("index_id") != F.col("sample_id")).drop("rank"), TOP_K)
     images = search.attach_details(others, document_details(spark, sf_dir), table.IMAGE, active)
-    matches = images.unionByName(_text_matches(spark, sf_dir))
-    return samples, matches.join(samples.select("sample_id"), "sample_id", "left_semi")
+    return samples, images.unionByName(_text_matches(spark, sf_dir))
 
 
 def _classified(spark: SparkSession, sf_dir: str, durable: bool = False) -> tuple[DataFrame, DataFrame]:
