@@ -105,9 +105,8 @@ def test_mix_meets_targets(spark):
     for p in mixture:
         in_slot[p.slot].add(p.source)
     assert all(len(s) == 1 for s in in_slot.values())
-    slots = sorted(in_slot)
-    hot = [s for s in slots if "hot" in in_slot[s]]
-    early = [s for s in hot if s < slots[-1] / 2]
+    hot = [s for s in in_slot if "hot" in in_slot[s]]
+    early = [s for s in hot if s < sum(want.values()) / 64 / 2]
     assert abs(len(early) - len(hot) / 2) < 6
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traincover.llm.base import mix, sequence_hashes, smaller, texts_of, word_hashes, words
-from traincover.session import stage
+from traincover.session import release, stage
 
 SHINGLE = 5
 THRESHOLD = 80  # in hundredths
@@ -39,6 +39,8 @@ _BLOCK = 1 << 14
 _BATCH = 256
 # Bits of the filter that picks the documents whose sets are needed.
 _PICK_BITS = 1 << 23
+# Bits of the filter that keeps shingles of one class out of the join.
+_LIST_BITS = 1 << 26
 # Further hubs of each list before the rest of the list is joined in full.
 FURTHER_HUBS = 8
 
@@ -159,10 +161,40 @@ def _postings(docs: DataFrame, levels: bytes, n: int, threshold: int) -> DataFra
     return docs.select("text").mapInArrow(run, "shingle long, class long, n int, position int")
 
 
+def _mark(values: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(values.astype(np.int64).view(np.uint64)) % np.uint64(bits)).astype(np.int64)
+
+
+def _bitmap(table: DataFrame, column: str, bits: int) -> bytes:
+    """A bit for each value of a column of longs. The size is fixed: the more values, the less it tells apart."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(bits, bool)
+        for batch in batches:
+            found[_mark(batch.column(0).to_numpy(), bits)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(found).tobytes()])], names=["bits"])
+
+    total = np.zeros(bits // 8, "u1")
+    for row in table.select(column).coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():
+        total |= np.frombuffer(row[0], "u1")
+    return total.tobytes()
+
+
 def _shared_lists(postings: DataFrame) -> DataFrame:
-    """Postings of the shingles that two classes have, with the list's smallest class as `hub`."""
+    """Postings of the shingles that two classes have, with the list's smallest class as `hub`. A class may be listed
+    again, by another task."""
     lists = postings.groupBy("shingle").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub != last")
-    return postings.join(lists.select("shingle", "hub"), "shingle").dropDuplicates(["shingle", "class"])
+    lists = stage(lists.select("shingle", "hub"), "shared")
+    # Most shingles are one class's own. A bitmap keeps nearly all of them out of the join, which decides.
+    shared = postings.sparkSession.sparkContext.broadcast(_bitmap(lists, "shingle", _LIST_BITS))
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, "u1")
+        for batch in batches:
+            at = _mark(batch.column("shingle").to_numpy(), _LIST_BITS)
+            yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype("u1") & 1).astype(bool)))
+
+    return postings.mapInArrow(screen, postings.schema).join(lists, "shingle")
 
 
 def _passes(a: str, b: str, threshold: int):
@@ -175,26 +207,14 @@ def _passes(a: str, b: str, threshold: int):
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """class, shingles (sorted hashes) for `wanted`: doc_id, class. A bitmap of fixed size lets the scan skip most others."""
-    spark = docs.sparkSession
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(_PICK_BITS, bool)
-        for batch in batches:
-            bits[_pick(batch.column("doc_id").to_numpy())] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()])], names=["bits"])
-
-    picked = np.zeros(_PICK_BITS // 8, "u1")
-    for row in wanted.select("doc_id").coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():
-        picked |= np.frombuffer(row[0], "u1")
-    shared = spark.sparkContext.broadcast(picked.tobytes())
+    """class, hub, shingles (sorted hashes) for `wanted`: doc_id, class, hub. A bitmap lets the scan skip most others."""
+    picked = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, "doc_id", _PICK_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(shared.value, "u1"))
+        bits = np.unpackbits(np.frombuffer(picked.value, "u1"))
         for batch in smaller(batches, 4096):
-            ids = batch.column("doc_id")
-            at = np.flatnonzero(bits[_pick(ids.fill_null(0).to_numpy(zero_copy_only=False))])
-            for part in smaller([batch.take(pa.array(at))], _BATCH):
+            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+            for part in smaller([batch.take(pa.array(np.flatnonzero(bits[_mark(ids, _PICK_BITS)])))], _BATCH):
                 own = [shingle_set(t, n) for t in texts_of(part)]
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array([_class_of(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary()),
@@ -202,11 +222,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, class long, shingles binary")
     # Rows that repeat a doc_id may hold other texts: the class tells.
-    return made.join(wanted, ["doc_id", "class"]).dropDuplicates(["class"]).select("class", "shingles")
-
-
-def _pick(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(_PICK_BITS)).astype(np.int64)
+    return made.join(wanted, ["doc_id", "class"]).dropDuplicates(["doc_id", "class"]).select("class", "hub", "shingles")
 
 
 def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
@@ -220,9 +236,9 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
     return (100 + threshold) * len(np.intersect1d(a, b, assume_unique=True)) >= need
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    left, right = (sets.select(F.col("class").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
+def _verified(pairs: DataFrame, asking: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that link. `asking`: the sets of all a."""
+    left, right = (t.select(F.col("class").alias(c), F.col("shingles").alias(f"set_{c}")) for t, c in ((asking, "a"), (sets, "b")))
     both = pairs.join(right, "b").join(left, "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,44 +273,41 @@ def components(links: DataFrame) -> DataFrame:
     return members if members is not None else links.select(F.col("a").alias("class"), F.col("b").alias("component")).limit(0)
 
 
-def _pairs(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
-    """Distinct (a, b) from postings that share a list and pass the filters."""
-    met = left.alias("x").join(right.alias("y"), F.col("x.shingle") == F.col("y.shingle"))
-    met = met.where((F.col("x.class") != F.col("y.class")) & _passes("x", "y", threshold))
-    return met.select(
-        F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")
-    ).distinct()
+def _pairs(asking: DataFrame, others: DataFrame, threshold: int, apart) -> DataFrame:
+    """Distinct (a, b), a from `asking` and b from `others`, that share a list and pass the filters and `apart`."""
+    met = asking.alias("x").join(others.alias("y"), F.col("x.shingle") == F.col("y.shingle"))
+    return met.where(apart & _passes("x", "y", threshold)).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
 
 def class_components(docs: DataFrame, classes: DataFrame, levels: bytes, n: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """class, component for the classes that link with another. `classes`: class, doc_id of one of its documents."""
-    lists = stage(_shared_lists(_postings(docs, levels, n, threshold)), "lists")
-    candidates = lists.select("class").distinct()
-    wanted = stage(classes.join(candidates, "class"), "wanted")
+    postings = stage(_postings(docs, levels, n, threshold), "postings")
+    lists = stage(_shared_lists(postings), "lists")
+    release(postings)
+    once = lambda table, *more: table.groupBy("shingle", "class", *more).agg(F.min("n").alias("n"), F.min("position").alias("position"))
+    is_hub = F.max((F.col("class") == F.col("hub")).cast("int")).alias("hub")
+    wanted = stage(classes.join(lists.groupBy("class").agg(is_hub), "class"), "wanted")
     sets = stage(_sets(docs, wanted, n), "sets")
+    hub_sets = sets.where("hub = 1")
 
-    hubs, others = lists.where("class = hub"), lists.where("class != hub")
-    links = stage(_verified(_pairs(hubs, others, threshold), sets, threshold), "links")
+    hubs, others = once(lists.where("class = hub")), lists.where("class != hub")
+    links = stage(_verified(_pairs(hubs, others, threshold, F.lit(True)), hub_sets, sets, threshold), "links")
     members = components(links)
 
     # What is open after the hubs: lists whose other members are in several components.
     for further in (FURTHER_HUBS, None):
         labelled = others.join(members, "class", "left").withColumn("component", F.coalesce("component", "class"))
-        labelled = labelled.withColumn("lane", F.pmod(F.xxhash64("class"), F.lit(FURTHER_HUBS)))
         open_lists = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-        rest = stage(labelled.join(open_lists.select("shingle"), "shingle"), "open")
+        rest = stage(once(labelled.join(open_lists.select("shingle"), "shingle"), "component"), "open")
         if rest.isEmpty():
             break
-        asking = rest
+        asking, apart = rest, F.col("x.component") != F.col("y.component")
         if further:
-            firsts = rest.groupBy("shingle", "lane").agg(F.min("class").alias("class"))
-            asking = rest.join(firsts, ["shingle", "lane", "class"], "left_semi")
-        met = asking.alias("x").join(rest.alias("y"), F.col("x.shingle") == F.col("y.shingle"))
-        apart = (F.col("x.component") != F.col("y.component")) & (F.lit(bool(further)) | (F.col("x.class") < F.col("y.class")))
-        pairs = met.where(apart & _passes("x", "y", threshold)).select(
-            F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")
-        ).distinct()
-        links = links.unionByName(stage(_verified(pairs, sets, threshold), "links"))
+            lane = F.pmod(F.xxhash64("class"), F.lit(further)).alias("lane")
+            asking = rest.join(rest.groupBy("shingle", lane).agg(F.min("class").alias("class")), ["shingle", "class"], "left_semi")
+        else:
+            apart = apart & (F.col("x.class") < F.col("y.class"))
+        links = links.unionByName(stage(_verified(_pairs(asking, rest, threshold, apart), sets, sets, threshold), "links"))
         members = components(links)
     return members
 

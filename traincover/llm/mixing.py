@@ -74,7 +74,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """slot, source_no, block: which block of which source each slot takes. `sources`: what `targets` returns."""
     spark = sources.sparkSession
-    total = sources.agg(F.coalesce(F.sum("need"), F.lit(0))).first()[0]
+    total, n_sources = sources.agg(F.coalesce(F.sum("need"), F.lit(0)), F.count("*")).first()
     n_slots = -(-total // block_words)
     order = Window.orderBy("source_no")
     taking = sources.where("need > 0").withColumn("blocks", F.ceil(F.col("need") / block_words).cast("long"))
@@ -102,8 +102,10 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     )
     got = counts.groupBy("source_no").agg(F.sum("n").alias("got"))
     short = taking.join(got, "source_no", "left").withColumn("got", F.coalesce("got", F.lit(0).cast("long"))).where("got < blocks")
-    added = short.select("source_no", F.explode(F.sequence(F.col("got"), F.col("blocks") - 1)).alias("block"))
-    added = added.select((F.col("block") + n_slots).alias("slot"), "source_no", "block")
+    added = short.select("source_no", "got", F.explode(F.sequence(F.col("got"), F.col("blocks") - 1)).alias("block"))
+    # By turns, so that no two sources share a slot.
+    slot = n_slots + (F.col("block") - F.col("got")) * n_sources + F.col("source_no")
+    added = added.select(slot.alias("slot"), "source_no", "block")
     wanted = ranked.join(taking.select("source_no", "blocks"), "source_no").where("block < blocks").drop("blocks")
     return wanted.unionByName(added)
 
