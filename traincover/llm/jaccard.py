@@ -8,7 +8,7 @@ with equal sets form a class, and only classes are joined. Two classes link when
    keeps frequent shingles out of prefixes.
 2. Prefixes. Sets that reach the threshold share one of their first n - ceil(0.8 n) + 1 shingles. Prefix shingles that
    two classes have make a list of candidates.
-3. Pairs. In each list the smallest class is the hub and is paired with the others that pass the length and the
+3. Pairs. In each list the class with the fewest shingles of its own is the hub and is paired with the others that pass the length and the
    positional filter. Pairs of many lists are verified once: a suffix filter that compares counts on the halves of the
    hash range, then the exact intersection. Links are contracted to components.
 4. What hubs leave open. Members of one list that are not yet in one component meet further hubs, then all of each
@@ -180,11 +180,14 @@ def _bitmap(table: DataFrame, column: str, bits: int) -> bytes:
     return total.tobytes()
 
 
-def _shared_lists(postings: DataFrame) -> DataFrame:
-    """Postings of the shingles that two classes have, with the list's smallest class as `hub`. A class may be listed
-    again, by another task."""
-    lists = postings.groupBy("shingle").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub != last")
-    lists = stage(lists.select("shingle", "hub"), "shared")
+def _shared_lists(postings: DataFrame, threshold: int) -> DataFrame:
+    """shingle, class, n, position, is_hub: postings of the shingles that two classes have.
+
+    A list's hub is the class with the fewest prefix shingles of its own, then the smallest: among near copies of one
+    text that is the least changed one, which most others link with.
+    """
+    lists = postings.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high")
+    lists = stage(lists.select("shingle"), "shared")
     # Most shingles are one class's own. A bitmap keeps nearly all of them out of the join, which decides.
     shared = postings.sparkSession.sparkContext.broadcast(_bitmap(lists, "shingle", _LIST_BITS))
 
@@ -194,15 +197,25 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
             at = _mark(batch.column("shingle").to_numpy(), _LIST_BITS)
             yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype("u1") & 1).astype(bool)))
 
-    return postings.mapInArrow(screen, postings.schema).join(lists, "shingle")
+    members = _once(postings.mapInArrow(screen, postings.schema).join(lists, "shingle"))  # a class may come from several tasks
+    prefix = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
+    own = members.groupBy("class").agg(F.max(prefix).alias("prefix"), F.count("*").alias("in_lists"))
+    order = F.shiftleft(F.least(F.col("prefix") - F.col("in_lists"), F.lit(32767)).cast("long"), 47) + F.shiftrightunsigned("class", 17)
+    keyed = members.join(own.select("class", order.alias("order")), "class")
+    first = keyed.groupBy("shingle").agg(F.min("order").alias("first"))
+    return keyed.join(first, "shingle").select("shingle", "class", "n", "position", (F.col("order") == F.col("first")).alias("is_hub"))
+
+
+def _once(table: DataFrame, *more: str) -> DataFrame:
+    return table.groupBy("shingle", "class", *more).agg(F.min("n").alias("n"), F.min("position").alias("position"))
 
 
 def _passes(a: str, b: str, threshold: int):
-    """The length and the positional filter for two postings of one shingle. Before their positions at most the smaller
-    one of them is shared, behind them what is left of the shorter rest."""
+    """The length and the positional filter for two postings of one shingle, taken as the first that a pair shares: no more
+    than what is left of the shorter rest is shared with it. Links pass in the list of their first shared shingle."""
     na, nb, pa_, pb = (F.col(f"{x}.{c}") for c in ("n", "position") for x in (a, b))
     lengths = (100 * F.least(na, nb) >= threshold * F.greatest(na, nb))
-    most = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
+    most = F.least(na - pa_, nb - pb)
     return lengths & ((100 + threshold) * most >= threshold * (na + nb))
 
 
@@ -282,15 +295,14 @@ def _pairs(asking: DataFrame, others: DataFrame, threshold: int, apart) -> DataF
 def class_components(docs: DataFrame, classes: DataFrame, levels: bytes, n: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """class, component for the classes that link with another. `classes`: class, doc_id of one of its documents."""
     postings = stage(_postings(docs, levels, n, threshold), "postings")
-    lists = stage(_shared_lists(postings), "lists")
+    lists = stage(_shared_lists(postings, threshold), "lists")
     release(postings)
-    once = lambda table, *more: table.groupBy("shingle", "class", *more).agg(F.min("n").alias("n"), F.min("position").alias("position"))
-    is_hub = F.max((F.col("class") == F.col("hub")).cast("int")).alias("hub")
+    is_hub = F.max(F.col("is_hub").cast("int")).alias("hub")
     wanted = stage(classes.join(lists.groupBy("class").agg(is_hub), "class"), "wanted")
     sets = stage(_sets(docs, wanted, n), "sets")
     hub_sets = sets.where("hub = 1")
 
-    hubs, others = once(lists.where("class = hub")), lists.where("class != hub")
+    hubs, others = lists.where("is_hub"), lists.where("not is_hub")
     links = stage(_verified(_pairs(hubs, others, threshold, F.lit(True)), hub_sets, sets, threshold), "links")
     members = components(links)
 
@@ -298,7 +310,7 @@ def class_components(docs: DataFrame, classes: DataFrame, levels: bytes, n: int
     for further in (FURTHER_HUBS, None):
         labelled = others.join(members, "class", "left").withColumn("component", F.coalesce("component", "class"))
         open_lists = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-        rest = stage(once(labelled.join(open_lists.select("shingle"), "shingle"), "component"), "open")
+        rest = stage(labelled.join(open_lists.select("shingle"), "shingle"), "open")
         if rest.isEmpty():
             break
         asking, apart = rest, F.col("x.component") != F.col("y.component")
