@@ -5,7 +5,7 @@ number of cells) and the scripts of words, per language. A word's script narrows
 a thousandth of the words have that script, or all if there is none. A word's score in a language is the logarithm of
 the smoothed likelihood of its trigrams. Viterbi over the words of a text, with a penalty for each switch, labels
 spans; a text's language is the one whose spans hold the most letters (ties: the smaller name), and its score is that
-share of letters, weighted with the mean confidence of the words against the runner-up.
+share of letters, weighted with the confidence of its words against their runners-up.
 
 Null texts and texts without letters are `und` with score 0 and no spans. Rows with a null language are not learnt from;
 without any training row every text is `und`. Repeated rows count as often as they occur. An empty table gives an empty
@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from traincover.llm.base import smaller
+from traincover.llm.base import mix, smaller
 
 UNDETERMINED = "und"
 CELLS = 1 << 16
@@ -50,21 +49,32 @@ _BOUNDS = np.array([start for start, _ in SCRIPT_RANGES])
 _SCRIPT_NO = np.array([SCRIPTS.index(name) for _, name in SCRIPT_RANGES])
 
 _WORDS = re.compile(r"[^\W\d_]+")
-_REMEMBERED = 300_000
+_REMEMBERED = 1_000_000
 
 
-def script_of(word: str) -> int:
-    """The script of most letters of a word (ties: the first in the list of scripts)."""
-    if word.isascii():
-        return SCRIPTS.index("latin")
-    points = np.array([ord(c) for c in word])
-    return int(np.bincount(_SCRIPT_NO[np.searchsorted(_BOUNDS, points, "right") - 1]).argmax())
+def _lowered(words: list[str]) -> list[str]:
+    """In lower case, word by word (a lowered text may split into other words)."""
+    return " ".join(words).lower().split(" ") if words else []
 
 
-def cells_of(word: str, cells: int = CELLS) -> list[int]:
-    """The cells of a word's trigrams, its ends marked."""
-    marked = f"^{word}$"
-    return [crc32(marked[i: i + 3].encode("utf-8", "surrogatepass")) % cells for i in range(len(marked) - 2)]
+class Words:
+    """Trigram cells and scripts of many words at once."""
+
+    def __init__(self, words: list[str], cells: int = CELLS):
+        points = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        self.lengths = np.fromiter(map(len, words), np.int64, len(words))  # letters, and trigrams too with both ends marked
+        ends = np.cumsum(self.lengths + 2)
+        inside = np.ones(len(points), bool)
+        inside[ends - 1] = inside[ends - 2] = False
+        hashed = mix(points[:-2] | points[1:-1] << np.uint64(21) | points[2:] << np.uint64(42)) if len(words) else points
+        self.cells = (hashed % np.uint64(cells)).astype(np.int64)[inside[: len(hashed)]]
+        self.first = np.cumsum(self.lengths) - self.lengths  # of each word among all cells
+        letters = np.ones(len(points), bool)
+        letters[ends - 1] = letters[ends - self.lengths - 2] = False
+        script = _SCRIPT_NO[np.searchsorted(_BOUNDS, points[letters].astype(np.int64), "right") - 1]
+        word = np.repeat(np.arange(len(words)), self.lengths)
+        table = np.bincount(word * len(SCRIPTS) + script, minlength=len(words) * len(SCRIPTS))
+        self.scripts = table.reshape(-1, len(SCRIPTS)).argmax(axis=1)  # that of most letters; ties: the first of the list
 
 
 def counts(training: DataFrame, cells: int = CELLS) -> DataFrame:
@@ -76,18 +86,19 @@ def counts(training: DataFrame, cells: int = CELLS) -> DataFrame:
 
         def settle(lang: str) -> None:
             total = found.setdefault(lang, np.zeros(cells + len(SCRIPTS), np.int64))
-            for word, n in waiting.pop(lang).items():
-                for cell in cells_of(word, cells):
-                    total[cell] += n
-                total[cells + script_of(word)] += n
+            counted = waiting.pop(lang)
+            n = np.fromiter(counted.values(), np.int64, len(counted))
+            own = Words(list(counted), cells)
+            total[:cells] += np.bincount(own.cells, np.repeat(n, own.lengths), minlength=cells).astype(np.int64)
+            total[cells:] += np.bincount(own.scripts, n, minlength=len(SCRIPTS)).astype(np.int64)
 
         for batch in smaller(batches, 1024):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 if text:
-                    waiting.setdefault(lang, Counter()).update(_WORDS.findall(text.lower()))
+                    waiting.setdefault(lang, Counter()).update(_lowered(_WORDS.findall(text)))
             for lang in [lang for lang, words in waiting.items() if len(words) > 100_000]:
                 settle(lang)
-        for lang in list(waiting):
+        for lang in [lang for lang, words in waiting.items() if words]:
             settle(lang)
         for lang, total in found.items():
             at = np.flatnonzero(total)
@@ -152,17 +163,38 @@ class Labeller:
                 bigger = np.empty((max(need, 2 * len(self.table)), len(self.model.langs)), np.float32)
                 bigger[: self.used] = self.table[: self.used]
                 self.table = bigger
-            for w in fresh:
-                score = self.model.log_likelihood[cells_of(w, self.model.cells)].sum(axis=0)
-                score = np.where(self.model.admitted[script_of(w)], score, score.min() - 50)
-                # Words differ in length; only differences between languages matter.
-                self.table[self.used] = score - score.max()
-                known[w] = self.used
-                self.used += 1
+            own = Words(fresh, self.model.cells)
+            score = np.add.reduceat(self.model.log_likelihood[own.cells], own.first, axis=0)
+            barred = ~self.model.admitted[own.scripts]
+            score = np.where(barred, score.min(axis=1, keepdims=True) - 50, score)
+            # Words differ in length; only differences between languages matter.
+            self.table[self.used: need] = score - score.max(axis=1, keepdims=True)
+            known.update(zip(fresh, range(self.used, need)))
+            self.used = need
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def label(self, rows: list[np.ndarray]) -> list[np.ndarray]:
-        """For each text's rows of `table` the languages of its words: Viterbi, one step for the n-th words of all texts."""
+        """For each text's rows of `table` the languages of its words. Texts in which no stretch of words gains as much
+        as one switch costs, even with the best other language for each word, are in one language; the others go
+        through Viterbi together."""
+        labels, mixed = [], []
+        for i, r in enumerate(rows):
+            best = 0
+            if len(r):
+                score = self.table[r]
+                best = int(score.sum(axis=0).argmax())
+                own = score[:, best].copy()
+                score[:, best] = -np.inf
+                gain = np.concatenate([[0.0], np.cumsum(np.maximum(score.max(axis=1), -1e6) - own, dtype=np.float64)])
+                if (gain - np.minimum.accumulate(gain)).max() > self.penalty:
+                    mixed.append(i)
+            labels.append(np.full(len(r), best, np.int16))
+        for i, path in zip(mixed, self._viterbi([rows[i] for i in mixed])):
+            labels[i] = path
+        return labels
+
+    def _viterbi(self, rows: list[np.ndarray]) -> list[np.ndarray]:
+        """One step for the n-th words of all texts."""
         order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
         lengths = np.array([len(rows[i]) for i in order], np.int64)
         labels = [np.empty(len(r), np.int16) for r in rows]
@@ -207,20 +239,23 @@ SPANS = T.ArrayType(T.StructType([
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
 
-def _verdict(found: list, rows: np.ndarray, labels: np.ndarray, labeller: Labeller):
-    """(language, score, spans) of one text; `found`: its words with their places."""
+def _verdict(text: str, words: list[str], rows: np.ndarray, labels: np.ndarray, labeller: Labeller):
+    """(language, score, spans) of one text with words."""
     langs = labeller.model.langs
-    letters = np.array([end - start for start, end in found])
-    held = np.bincount(labels, letters, minlength=len(langs))
-    chosen = int(held.argmax())
-    own = labels == chosen
-    score = labeller.table[rows[own]]
+    chosen, share = int(labels[0]), 1.0
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(labels)) + 1, [len(labels)]])
+    if len(cuts) > 2:
+        held = np.bincount(labels, np.fromiter(map(len, words), np.int64, len(words)), minlength=len(langs))
+        chosen = int(held.argmax())
+        share = held[chosen] / held.sum()
+        found = [m.span() for m in _WORDS.finditer(text)]
+        spans = [{"start": found[a][0], "end": found[b - 1][1], "lang": langs[labels[a]]} for a, b in zip(cuts, cuts[1:])]
+    else:
+        spans = [{"start": text.index(words[0]), "end": text.rindex(words[-1]) + len(words[-1]), "lang": langs[chosen]}]
+    score = labeller.table[rows[labels == chosen]] if len(cuts) > 2 else labeller.table[rows]
     rival = np.delete(score, chosen, axis=1)
     margin = (score[:, chosen] - rival.max(axis=1)).sum() if rival.shape[1] else 30.0
-    sure = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(labels)) + 1, [len(labels)]])
-    spans = [{"start": found[a][0], "end": found[b - 1][1], "lang": langs[labels[a]]} for a, b in zip(cuts, cuts[1:])]
-    return langs[chosen], float(held[chosen] / held.sum() * sure), spans
+    return langs[chosen], float(share / (1 + np.exp(-np.clip(margin, -30, 30)))), spans
 
 
 def label_languages(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> DataFrame:
@@ -233,19 +268,15 @@ def label_languages(docs: DataFrame, model: Model, penalty: float = SWITCH_PENAL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value, penalty)
-        for batch in smaller(batches, 256):
-            places, rows = [], []
-            for text in batch.column("text").to_pylist():
-                # lower() may change lengths; words are found in the text itself.
-                found = [m.span() for m in _WORDS.finditer(text or "")] if labeller.model.langs else []
-                places.append(found)
-                rows.append([text[a:b].lower() for a, b in found] if found else [])
-            flat = labeller.word_scores([w for r in rows for w in r])
-            ends = np.cumsum([len(r) for r in rows])
-            numbered = np.split(flat, ends[:-1])
-            labels = labeller.label(numbered)
+        for batch in smaller(batches, 1024):
+            texts = batch.column("text").to_pylist()
+            found = [_WORDS.findall(t) if t and labeller.model.langs else [] for t in texts]
+            numbered = np.split(
+                labeller.word_scores(_lowered([w for words in found for w in words])), np.cumsum([len(f) for f in found])[:-1]
+            )
             verdicts = [
-                _verdict(p, r, x, labeller) if p else (UNDETERMINED, 0.0, []) for p, r, x in zip(places, numbered, labels)
+                _verdict(t, f, r, x, labeller) if f else (UNDETERMINED, 0.0, [])
+                for t, f, r, x in zip(texts, found, numbered, labeller.label(numbered))
             ]
             yield pa.RecordBatch.from_arrays([
                 *batch.columns, pa.array([v[0] for v in verdicts], pa.string()), pa.array([v[1] for v in verdicts], pa.float64()),
