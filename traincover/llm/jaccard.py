@@ -197,11 +197,12 @@ def _shared_lists(postings: DataFrame, threshold: int) -> DataFrame:
             at = _mark(batch.column("shingle").to_numpy(), _LIST_BITS)
             yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype("u1") & 1).astype(bool)))
 
-    members = _once(postings.mapInArrow(screen, postings.schema).join(lists, "shingle"))  # a class may come from several tasks
+    screened = postings.mapInArrow(screen, postings.schema).join(lists, "shingle")
+    members = stage(_once(screened), "members")  # a class may come from several tasks
     prefix = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
     own = members.groupBy("class").agg(F.max(prefix).alias("prefix"), F.count("*").alias("in_lists"))
     order = F.shiftleft(F.least(F.col("prefix") - F.col("in_lists"), F.lit(32767)).cast("long"), 47) + F.shiftrightunsigned("class", 17)
-    keyed = members.join(own.select("class", order.alias("order")), "class")
+    keyed = stage(members.join(own.select("class", order.alias("order")), "class"), "keyed")
     first = keyed.groupBy("shingle").agg(F.min("order").alias("first"))
     return keyed.join(first, "shingle").select("shingle", "class", "n", "position", (F.col("order") == F.col("first")).alias("is_hub"))
 
@@ -220,7 +221,7 @@ def _passes(a: str, b: str, threshold: int):
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """class, hub, shingles (sorted hashes) for `wanted`: doc_id, class, hub. A bitmap lets the scan skip most others."""
+    """class, shingles (sorted hashes) for `wanted`: doc_id, class. A bitmap lets the scan skip most others."""
     picked = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, "doc_id", _PICK_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +236,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, class long, shingles binary")
     # Rows that repeat a doc_id may hold other texts: the class tells.
-    return made.join(wanted, ["doc_id", "class"]).dropDuplicates(["doc_id", "class"]).select("class", "hub", "shingles")
+    return made.join(wanted, ["doc_id", "class"]).dropDuplicates(["doc_id", "class"]).select("class", "shingles")
 
 
 def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
@@ -249,9 +250,12 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
     return (100 + threshold) * len(np.intersect1d(a, b, assume_unique=True)) >= need
 
 
-def _verified(pairs: DataFrame, asking: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) that link. `asking`: the sets of all a."""
-    left, right = (t.select(F.col("class").alias(c), F.col("shingles").alias(f"set_{c}")) for t, c in ((asking, "a"), (sets, "b")))
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) that link. Only the sets of classes in a pair are made, from one document each."""
+    pairs = stage(pairs, "pairs")
+    asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    sets = stage(_sets(docs, stage(classes.join(asked, "class"), "wanted"), n), "sets")
+    left, right = (sets.select(F.col("class").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
     both = pairs.join(right, "b").join(left, "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +264,9 @@ def _verified(pairs: DataFrame, asking: DataFrame, sets: DataFrame, threshold: i
             ok = [linked(np.frombuffer(a[i].as_buffer(), "u8"), np.frombuffer(b[i].as_buffer(), "u8"), threshold) for i in range(batch.num_rows)]
             yield batch.filter(pa.array(ok)).select(["a", "b"])
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    links = stage(both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), "links")
+    release(sets, pairs)
+    return links
 
 
 def _relabel(table: DataFrame, column: str, parents: DataFrame) -> DataFrame:
@@ -297,13 +303,9 @@ def class_components(docs: DataFrame, classes: DataFrame, levels: bytes, n: int
     postings = stage(_postings(docs, levels, n, threshold), "postings")
     lists = stage(_shared_lists(postings, threshold), "lists")
     release(postings)
-    is_hub = F.max(F.col("is_hub").cast("int")).alias("hub")
-    wanted = stage(classes.join(lists.groupBy("class").agg(is_hub), "class"), "wanted")
-    sets = stage(_sets(docs, wanted, n), "sets")
-    hub_sets = sets.where("hub = 1")
 
     hubs, others = lists.where("is_hub"), lists.where("not is_hub")
-    links = stage(_verified(_pairs(hubs, others, threshold, F.lit(True)), hub_sets, sets, threshold), "links")
+    links = _verified(_pairs(hubs, others, threshold, F.lit(True)), docs, classes, n, threshold)
     members = components(links)
 
     # What is open after the hubs: lists whose other members are in several components.
@@ -319,7 +321,7 @@ def class_components(docs: DataFrame, classes: DataFrame, levels: bytes, n: int
             asking = rest.join(rest.groupBy("shingle", lane).agg(F.min("class").alias("class")), ["shingle", "class"], "left_semi")
         else:
             apart = apart & (F.col("x.class") < F.col("y.class"))
-        links = links.unionByName(stage(_verified(_pairs(asking, rest, threshold, apart), sets, sets, threshold), "links"))
+        links = links.unionByName(_verified(_pairs(asking, rest, threshold, apart), docs, classes, n, threshold))
         members = components(links)
     return members
 
