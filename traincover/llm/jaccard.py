@@ -42,7 +42,7 @@ _PICK_BITS = 1 << 23
 # Bits of the filter that keeps shingles of one class out of the join.
 _LIST_BITS = 1 << 26
 # Further hubs of each list before the rest of the list is joined in full.
-FURTHER_HUBS = 8
+FURTHER_HUBS = 4
 
 
 def shingle_set(text: bytes | None, n: int = SHINGLE) -> np.ndarray:
@@ -252,7 +252,6 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, threshold: int) -> DataFrame:
     """The pairs (a, b) that link. Only the sets of classes in a pair are made, from one document each."""
-    pairs = stage(pairs, "pairs")
     asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     sets = stage(_sets(docs, stage(classes.join(asked, "class"), "wanted"), n), "sets")
     left, right = (sets.select(F.col("class").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
@@ -265,7 +264,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, thr
             yield batch.filter(pa.array(ok)).select(["a", "b"])
 
     links = stage(both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), "links")
-    release(sets, pairs)
+    release(sets)
     return links
 
 
@@ -295,7 +294,9 @@ def components(links: DataFrame) -> DataFrame:
 def _pairs(asking: DataFrame, others: DataFrame, threshold: int, apart) -> DataFrame:
     """Distinct (a, b), a from `asking` and b from `others`, that share a list and pass the filters and `apart`."""
     met = asking.alias("x").join(others.alias("y"), F.col("x.shingle") == F.col("y.shingle"))
-    return met.where(apart & _passes("x", "y", threshold)).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    return met.where(apart & _passes("x", "y", threshold)).select(
+        F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")
+    ).distinct()
 
 
 def class_components(docs: DataFrame, classes: DataFrame, levels: bytes, n: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -305,7 +306,8 @@ def class_components(docs: DataFrame, classes: DataFrame, levels: bytes, n: int
     release(postings)
 
     hubs, others = lists.where("is_hub"), lists.where("not is_hub")
-    links = _verified(_pairs(hubs, others, threshold, F.lit(True)), docs, classes, n, threshold)
+    tested = stage(_pairs(hubs, others, threshold, F.lit(True)), "pairs")
+    links = _verified(tested, docs, classes, n, threshold)
     members = components(links)
 
     # What is open after the hubs: lists whose other members are in several components.
@@ -321,7 +323,9 @@ def class_components(docs: DataFrame, classes: DataFrame, levels: bytes, n: int
             asking = rest.join(rest.groupBy("shingle", lane).agg(F.min("class").alias("class")), ["shingle", "class"], "left_semi")
         else:
             apart = apart & (F.col("x.class") < F.col("y.class"))
-        links = links.unionByName(_verified(_pairs(asking, rest, threshold, apart), docs, classes, n, threshold))
+        pairs = stage(_pairs(asking, rest, threshold, apart).join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(_verified(pairs, docs, classes, n, threshold))
+        tested = tested.unionByName(pairs)
         members = components(links)
     return members
 
