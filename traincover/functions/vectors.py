@@ -19,3 +19,8 @@ def l2_normalize(vector: Column) -> Column:
     squares = F.aggregate(vector, F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
     length = F.greatest(F.sqrt(squares), F.lit(EPSILON))
     return F.transform(vector, lambda x: x.cast("double") / length)
+
+
+def is_finite(vector: Column) -> Column:
+    """Whether a vector is there and all its components are numbers."""
+    return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

@@ -16,10 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from traincover.functions.vectors import is_finite
 from traincover.operators import topk
 
-# Vectors the cell centres are fitted on, per cell. Only the fit samples; every vector gets a cell.
-FIT_ROWS_PER_CELL = 256
 # Centres are broadcast, so their number is bounded.
 MAX_CELLS = 16_384
 
@@ -32,14 +31,11 @@ class CellIndex:
 
 
 def fit_cells(vectors: DataFrame, cells: int, seed: int = 0) -> CellIndex:
-    """Find cell centres for a corpus (column `embedding`)."""
+    """Find cell centres for a corpus (column `embedding`), from all its finite vectors."""
     if not 0 < cells <= MAX_CELLS:
         raise ValueError(f"cells must be in 1..{MAX_CELLS}")
-    rows = vectors.select(array_to_vector("embedding").alias("features")).where(F.col("embedding").isNotNull())
-    total = rows.count()
-    wanted = cells * FIT_ROWS_PER_CELL
-    fit_on = rows.sample(wanted / total, seed) if total > 2 * wanted else rows
-    centres = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(fit_on).clusterCenters())
+    rows = vectors.select(array_to_vector("embedding").alias("features")).where(is_finite(F.col("embedding")))
+    centres = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(rows).clusterCenters())
     return CellIndex(centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12))
 
 
@@ -55,8 +51,12 @@ def nearest_cells(rows: DataFrame, index: CellIndex, nprobe: int) -> DataFrame:
         for batch in batches:
             near = np.zeros((0, count), dtype=np.int32)
             if batch.num_rows:
-                scores = topk.to_matrix(batch.column(at)).astype(np.float64) @ centres
-                near = np.argsort(-scores, axis=1, kind="stable")[:, :count].astype(np.int32)
+                matrix = topk.to_matrix(batch.column(at)).astype(np.float64)
+                step = max(1, topk.PAIR_CELLS // centres.shape[1])  # bounds one score matrix
+                near = np.concatenate([
+                    np.argsort(-(matrix[i: i + step] @ centres), axis=1, kind="stable")[:, :count].astype(np.int32)
+                    for i in range(0, len(matrix), step)
+                ])
             ends = np.arange(len(near) + 1, dtype=np.int32) * count
             cells = pa.ListArray.from_arrays(pa.array(ends), pa.array(near.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, cells], names=[*batch.schema.names, "cells"])
@@ -67,7 +67,7 @@ def nearest_cells(rows: DataFrame, index: CellIndex, nprobe: int) -> DataFrame:
 def house(vectors: DataFrame, index: CellIndex) -> DataFrame:
     """Add `cell`, the cell of each vector. Store the result sorted or partitioned by it: searches then reuse the
     assignment and skip what no query probes."""
-    housed = nearest_cells(vectors.where(F.col("embedding").isNotNull()), index, 1)
+    housed = nearest_cells(vectors.where(is_finite(F.col("embedding"))), index, 1)
     return housed.withColumn("cell", F.get("cells", F.lit(0))).drop("cells")
 
 
@@ -80,10 +80,10 @@ def approximate_topk(
     third of the corpus runs as many tasks as its size calls for.
     """
     vector = F.col("embedding").cast("array<float>").alias("embedding")
-    queries = queries.select("sample_id", vector).where(F.col("embedding").isNotNull())
+    queries = queries.select("sample_id", vector).where(is_finite(F.col("embedding")))
     if "cell" not in corpus.columns:
         corpus = house(corpus.select("version_pos", "index_id", vector), index)
-    housed = corpus.select("version_pos", "index_id", vector, "cell")
+    housed = corpus.select("version_pos", "index_id", vector, "cell").where(is_finite(F.col("embedding")))
     probes = nearest_cells(queries, index, nprobe).select("sample_id", "embedding", F.explode("cells").alias("cell"))
     # One row per cell (at most MAX_CELLS): how many chunks and fragments it needs.
     chunks = probes.groupBy("cell").agg(F.ceil(F.count("*") / topk.CHUNK_QUERIES).cast("int").alias("chunks"))

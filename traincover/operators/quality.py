@@ -153,10 +153,13 @@ def exploded_issues(checked: DataFrame, *keep: str) -> DataFrame:
 
 def problems(
     checked: DataFrame, severities: tuple[str, ...] = (ERROR, WARNING), order: str = "global_id",
-    limit: int = LISTED_PROBLEMS,
+    limit: int | None = None,
 ) -> DataFrame:
-    """The report's problem list: the first `limit` samples with an issue, reduced to the chosen severities."""
-    first = checked.where(~F.col("is_clean")).orderBy(order).limit(limit)
+    """The samples with an issue of the chosen severities, with those issues. `limit` looks at the first so many samples
+    with any issue only; the report shows LISTED_PROBLEMS."""
+    first = checked.where(~F.col("is_clean"))
+    if limit is not None:
+        first = first.orderBy(order).limit(limit)
     chosen = first.withColumn("issues", F.filter("issues", lambda issue: issue["severity"].isin(*severities)))
     return chosen.where(F.size("issues") > 0).withColumn(
         "is_error", F.exists("issues", lambda issue: issue["severity"] == ERROR)

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from traincover.functions.vectors import is_finite
+
 DECIMALS = 9
 # Queries are broadcast only within both bounds.
 BROADCAST_QUERIES = 20_000
@@ -31,8 +33,6 @@ PAIR_CELLS = 4 << 20
 # Sizes of the blocks that meet when the queries are too many to broadcast.
 CHUNK_QUERIES = 32_768
 FRAGMENT_ROWS = 500_000
-# Partial rows that one search should not send to its final ranking.
-PARTIAL_ROWS = 200_000_000
 
 _CORPUS_COLUMNS = ("version_pos", "index_id", "embedding")
 
@@ -134,11 +134,6 @@ def _broadcast_partials(queries: pa.Table, corpus: DataFrame, k: int, schema: T.
     context = corpus.sparkSession.sparkContext
     samples = queries["sample_id"].combine_chunks()
     shared = context.broadcast((samples, to_matrix(queries["embedding"].combine_chunks())))
-    # Each task answers k rows per query, so a task should see much of the corpus: merge its splits, unshuffled, into
-    # one to four tasks per core, the fewer the more rows they answer.
-    cores = context.defaultParallelism
-    corpus = corpus.coalesce(min(4 * cores, max(cores, PARTIAL_ROWS // max(1, len(samples) * k))))
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         samples, matrix = shared.value
         best = RunningTopK(matrix, k)
@@ -227,11 +222,11 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int, broadcast_queries: int =
     """(sample_id, rank, score, version_pos, index_id) of the best k corpus rows per query.
 
     `queries`: sample_id (unique), embedding. `corpus`: version_pos INT, index_id LONG, embedding. Rows without a
-    vector are left out on both sides.
+    vector, or with a null, NaN or infinite component, are left out on both sides.
     """
     vector = F.col("embedding").cast("array<float>").alias("embedding")
-    queries = queries.select("sample_id", vector).where(F.col("embedding").isNotNull())
-    corpus = corpus.select("version_pos", "index_id", vector).where(F.col("embedding").isNotNull())
+    queries = queries.select("sample_id", vector).where(is_finite(F.col("embedding")))
+    corpus = corpus.select("version_pos", "index_id", vector).where(is_finite(F.col("embedding")))
     schema = _partial_schema(queries)
     # One row over the bound proves that the queries are too many; no more than that reaches the driver.
     held = queries.limit(broadcast_queries + 1).toArrow()

@@ -129,8 +129,7 @@ _ANNOTATED = r"""
         SELECT d.doc_id AS global_id,
                CASE WHEN toxic = 1 THEN '' WHEN quality = 0 THEN source ELSE regexp_extract(text, '^\S+') END
                    AS entity_name,
-               CASE WHEN position(chr(10) IN text) > 0 THEN substr(text, position(chr(10) IN text) + 1) ELSE '' END
-                   AS annotation,
+               text AS annotation,
                source || '/' || d.doc_id || '.jpg' AS image_relative_path, source AS source_name,
                CASE WHEN quality IS NOT NULL THEN lang ELSE '' END AS model_name, lang AS source_dataset
         FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
@@ -190,7 +189,7 @@ _STATUSES = _RECORDS + f""",
 _NUMBERED = """
     numbered AS (
         SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS global_id
-        FROM documents WHERE position(chr(10) IN text) > 0
+        FROM documents
     )"""
 
 EXPECTED = {
@@ -278,7 +277,7 @@ EXPECTED = {
                row_number() OVER (ORDER BY count(*) DESC, min(global_id * 10 + place))::INT AS rank
         FROM issues GROUP BY field""",
     "qc_problems": f"""WITH {_ISSUES},
-        listed AS (SELECT * FROM checked WHERE n_issues > 0 ORDER BY global_id LIMIT 200)
+        listed AS (SELECT * FROM checked WHERE n_issues > 0)
         SELECT global_id, CASE WHEN entity_name <> '' THEN entity_name ELSE image_relative_path END AS name,
                count(*)::INT AS n_issues, bool_or(severity = 'ERROR') AS is_error
         FROM listed JOIN issues USING (global_id) WHERE severity IN ('ERROR', 'WARNING')

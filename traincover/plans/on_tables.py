@@ -246,14 +246,13 @@ def agree_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as annotations: the first line is dropped as a title, labels decide the name."""
+    """Whole documents as annotations; labels decide the name."""
     labels = _read(spark, sf_dir, "labels")
-    body = F.when(F.contains("text", F.lit("\n")), F.substr("text", F.locate("\n", F.col("text")) + 1)).otherwise("")
     return _read(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("global_id"),
         F.when(F.col("toxic") == 1, "").when(F.col("quality") == 0, F.col("source"))
         .otherwise(F.regexp_extract("text", r"^\S+", 0)).alias("entity_name"),
-        body.alias("annotation"),
+        F.col("text").alias("annotation"),
         F.format_string("%s/%d.jpg", "source", "doc_id").alias("image_relative_path"),
         F.format_string("doc-%d", "doc_id").alias("data_uuid"),
         F.col("source").alias("source_name"),
@@ -473,8 +472,8 @@ def tar_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of more than one line, numbered in scan order."""
-    scan = _read(spark, sf_dir, "documents").where(F.contains("text", F.lit("\n"))).select(
+    """All documents, numbered in scan order."""
+    scan = _read(spark, sf_dir, "documents").select(
         "doc_id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
     )
     return ids.scan_ids(scan, ("file", "block")).drop("file", "block")

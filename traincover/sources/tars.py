@@ -106,11 +106,12 @@ class MemberReader:
             if offset is not None:
                 return self._span(archive, offset, size)
             tar, places = self._archive(archive)
-            place, hops = places[member], 0
-            while isinstance(place, str) and hops < 8:
-                place, hops = places[place], hops + 1
-            if isinstance(place, str):
-                return None
+            place, passed = places[member], {member}
+            while isinstance(place, str):  # links, unless they lead in a circle
+                if place in passed:
+                    return None
+                passed.add(place)
+                place = places[place]
             tar.fileobj.seek(place[0])
             return tar.fileobj.read(place[1])
         except (OSError, KeyError, ValueError, tarfile.TarError):
