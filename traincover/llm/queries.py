@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traincover.llm import chat, exact, jaccard, langid, mixing, mtree, ngramlm, sentpiece, toxicity
+from traincover.llm import chat, exact, jaccard, langid, linededup, mixing, mtree, ngramlm, sentpiece, toxicity
 from traincover.llm.base import fold, read
 
 # A conversation whose texts look like the template.
@@ -71,6 +71,11 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))[1]
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = linededup.line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "removed_lines", "removed_chunks", _sha(F.col("text")).alias("text_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -83,5 +88,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_lm_scoring, op3_jaccard_join, op4_chat_format, op5_exact_topk, op6_sentencepiece,
-    op7_mix_sources, op9_exact_dedup, op10_toxicity,
+    op7_mix_sources, op8_line_dedup, op9_exact_dedup, op10_toxicity,
 )}
