@@ -107,10 +107,28 @@ best AS (
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM best
 """
 
+_LINES = """
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+numbered AS (SELECT doc_id, unnest(lines) AS line, unnest(generate_series(1, len(lines))) AS i FROM cut),
+hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM numbered),
+flagged AS (
+    SELECT doc_id, line, i, i = 1 OR (h + 31 * coalesce(lag(h) OVER w, 0) + 961 * coalesce(lag(h, 2) OVER w, 0)) % 2147483647 % 4 = 0 AS starts
+    FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+),
+placed AS (SELECT *, sum(starts::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS place FROM flagged),
+chunks AS (SELECT doc_id, place, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM placed GROUP BY doc_id, place),
+ranked AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, place) > 1 AS gone FROM chunks)
+SELECT doc_id, sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS removed_lines,
+    count(*) FILTER (gone) AS removed_chunks,
+    sha256(coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS text_sha256
+FROM ranked GROUP BY doc_id
+"""
+
 EXPECTED = {
     "op3_jaccard_join": _JACCARD,
     "op4_chat_format": _CHAT,
     "op5_exact_topk": _TOPK,
     "op7_mix_sources": _MIX,
+    "op8_line_dedup": _LINES,
     "op9_exact_dedup": _EXACT,
 }
