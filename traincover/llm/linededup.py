@@ -12,7 +12,8 @@ result. Columns beyond doc_id and text are ignored.
 Scale: cutting is done inside each row, in time linear in its lines. Digests are counted with partial sums. Chunks meet
 the repeated digests under one of `SALTS` keys for each, and what is repeated meets the bytes that stay under as many keys
 as its count asks for, so a passage that a third of all documents share is dealt over many tasks. Each text of several
-lines is shuffled once, to meet the list of its chunks that go.
+lines is shuffled once, to meet the list of its chunks that go. What grows with the table is never broadcast, so the plan is the
+same at every size.
 """
 
 from __future__ import annotations
@@ -81,21 +82,21 @@ def line_dedup(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
 
     salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     found = found.withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int"))
-    met = stage(found.join(salted, ["digest", "salt"]).drop("salt"), "repeated-chunks")
+    met = stage(found.join(salted.hint("merge"), ["digest", "salt"]).drop("salt"), "repeated-chunks")
 
     keys = F.floor(F.col("n") / ROWS_PER_KEY).cast("int")
     stays = met.where("at = first").dropDuplicates(["digest"]).select(
         F.col("digest").alias("d"), F.explode(F.sequence(F.lit(0), keys)).alias("s"), F.col("bytes").alias("stays")
     )
     others = met.where("at != first").withColumn("salt", F.pmod(F.xxhash64("at"), keys + 1).cast("int"))
-    same = others.join(stays, (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("s"))).where("bytes = stays")
+    same = others.join(stays.hint("merge"), (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("s"))).where("bytes = stays")
     gone = stage(
         same.groupBy(F.col("at.doc_id").alias("of"), F.col("at.row").alias("of_row")).agg(F.collect_set("at.place").alias("gone")),
         "chunks-to-remove",
     )
     release(repeated, met)
 
-    joined = several.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("of_row")), "left")
+    joined = several.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("of_row")), "left")
     joined = joined.select("doc_id", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"), "text")
     cut = with_chunks(joined, divisor)
     places = F.transform("chunks", lambda c: c["place"])
