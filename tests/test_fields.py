@@ -23,8 +23,11 @@ def samples(spark):
     return spark.createDataFrame(rows, "stem string, body string").select("stem", F.parse_json("body").alias("json"))
 
 
-def test_depth(samples):
-    assert fields.nesting_depth(samples) == 4
+def test_deep_nesting(spark):
+    deep = '{"a":[' * 250 + '"x"' + "]}" * 250
+    rows = spark.createDataFrame([("s", deep), ("t", '{"b": "y"}')], "stem string, body string")
+    found = fields.text_paths(rows.select("stem", F.parse_json("body").alias("json"))).collect()
+    assert [r.path for r in found] == [".".join(["a[0]"] * 250), "b"]
 
 
 def test_paths(samples):

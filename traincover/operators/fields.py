@@ -2,17 +2,38 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from json import loads
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traincover.functions.jsonpath import PLAIN_KEY, text_at
-from traincover.functions.text import is_blank
+from traincover.functions.text import WHITESPACE
+
+_PLAIN = re.compile(PLAIN_KEY)
 
 
-def _step(path: Column, key: Column) -> Column:
+def _step(path: str, key: str) -> str:
     """Append a key to a path; keys the path grammar cannot spell plainly are quoted."""
-    plain = F.when(path == "", key).otherwise(F.concat(path, F.lit("."), key))
-    return F.when(F.rlike(key, F.lit(PLAIN_KEY)), plain).otherwise(F.concat(path, F.lit('["'), key, F.lit('"]')))
+    if not _PLAIN.search(key):
+        return f'{path}["{key}"]'
+    return f"{path}.{key}" if path else key
+
+
+def _walk(sample: object) -> Iterator[str]:
+    """The paths that lead to a non-blank string, by a stack of its own: nesting may be as deep as it likes."""
+    stack = [("", sample)]
+    while stack:
+        path, node = stack.pop()
+        if isinstance(node, dict):
+            stack.extend((_step(path, key), value) for key, value in node.items())
+        elif isinstance(node, list):
+            stack.extend((f"{path}[0]", value) for value in node[:1])
+        elif isinstance(node, str) and path and node.strip(WHITESPACE):
+            yield path
 
 
 def _kind(node: Column) -> Column:
@@ -20,55 +41,22 @@ def _kind(node: Column) -> Column:
     return F.substring_index(F.schema_of_variant(node), "<", 1)
 
 
-def nesting_depth(samples: DataFrame, json: str = "json") -> int:
-    """Depth of the deepest nesting in any sample."""
-    # Once escapes and strings are gone, brackets are structure only.
-    bare = F.regexp_replace(F.to_json(F.col(json)), r"\\.", "")
-    brackets = F.regexp_replace(F.regexp_replace(bare, '"[^"]*"', ""), r"[^\[\]{}]", "")
-    shapes = samples.select(brackets.alias("brackets")).distinct()
-    steps = F.transform(
-        F.split("brackets", ""), lambda b: F.when(b.isin("[", "{"), 1).when(b.isin("]", "}"), -1).otherwise(0)
-    )
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
-    deepest = F.aggregate(
-        steps, start,
-        lambda seen, step: F.struct(
-            (seen["now"] + step).alias("now"), F.greatest(seen["top"], seen["now"] + step).alias("top")
-        ),
-        lambda seen: seen["top"],
-    )
-    return shapes.agg(F.coalesce(F.max(deepest), F.lit(0))).first()[0]
-
-
 def text_paths(samples: DataFrame, json: str = "json", first: int | None = None, order: str = "stem") -> DataFrame:
     """The distinct paths that lead to a non-blank string in any sample, sorted. Lists are probed at position 0.
 
-    All samples are read unless `first` limits the probe. Each level of nesting is one in-place expansion of the
-    containers among the nodes, so the whole walk is a single scan without a shuffle until the final `distinct`.
+    All samples are read unless `first` limits the probe. Each sample is walked once, as JSON text; every batch hands on
+    its distinct paths only.
     """
     if first is not None:
         samples = samples.orderBy(order).limit(first)
-    def with_kind(nodes: DataFrame) -> DataFrame:
-        # The kind walks the whole value: a column of its own is computed once per node.
-        return nodes.withColumn("kind", _kind(F.col("node"))).where(F.col("kind").isin("OBJECT", "ARRAY", "STRING"))
-
-    nodes = with_kind(samples.select(F.lit("").alias("path"), F.col(json).alias("node")))
-    kind = F.col("kind")
-    for _ in range(nesting_depth(samples, json)):
-        # An object opens into its fields, a list into its first element, a leaf stays as it is.
-        opened = nodes.withColumn("inner", F.when(kind == "OBJECT", F.col("node"))).lateralJoin(
-            samples.sparkSession.tvf.variant_explode_outer(F.col("inner").outer()).select("key", "value")
-        )
-        head = F.try_variant_get("node", "$[0]", "variant")
-        nodes = with_kind(opened.where((kind != "OBJECT") | F.col("key").isNotNull()).select(
-            F.when(kind == "OBJECT", _step(F.col("path"), F.col("key")))
-            .when(kind == "ARRAY", F.concat("path", F.lit("[0]")))
-            .otherwise(F.col("path")).alias("path"),
-            F.when(kind == "OBJECT", F.col("value")).when(kind == "ARRAY", head)
-            .otherwise(F.col("node")).alias("node"),
-        ))
-    leaves = nodes.where((kind == "STRING") & ~is_blank(F.try_variant_get("node", "$", "string")))
-    return leaves.where(F.col("path") != "").select("path").distinct().orderBy("path")
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {path for text in batch.column(0).to_pylist() if text for path in _walk(loads(text))}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["path"])
+
+    texts = samples.select(F.to_json(F.col(json)).alias("text"))
+    return texts.mapInArrow(paths, "path string").distinct().orderBy("path")
 
 
 def list_keys(samples: DataFrame, json: str = "json") -> DataFrame:
