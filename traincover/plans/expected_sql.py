@@ -199,6 +199,22 @@ EXPECTED = {
                round(exact, 6) AS score,
                row_number() OVER (PARTITION BY q.vec_id ORDER BY exact DESC, c.vec_id)::INT AS rank
         FROM embeddings q CROSS JOIN embeddings c QUALIFY rank <= {TOP_K}""",
+    "ann_search": f"""
+        WITH entries AS (
+            SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS place FROM embeddings
+        ), means AS (SELECT label, place, round(avg(x), 3) AS mean FROM entries GROUP BY label, place),
+        centres AS (SELECT label, list(mean ORDER BY place) AS centre FROM means GROUP BY label),
+        near AS (
+            SELECT vec_id, embedding::DOUBLE[] AS v, c.label AS cell, row_number() OVER (
+                PARTITION BY vec_id ORDER BY list_inner_product(embedding::DOUBLE[], centre) DESC, c.label) AS place
+            FROM embeddings e CROSS JOIN centres c
+        ), scores AS (
+            SELECT q.vec_id AS sample_id, c.vec_id AS index_id, round(list_inner_product(q.v, c.v), 9) AS exact
+            FROM near q JOIN near c ON q.cell = c.cell AND q.place <= 2 AND c.place = 1
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY exact DESC, index_id)::INT AS rank FROM scores
+        )
+        SELECT sample_id, rank, index_id, round(exact, 6) AS score FROM ranked WHERE rank <= {TOP_K}""",
     "search_versions": f"WITH {_IMAGE_SCORES} " + " UNION ALL ".join(
         f"SELECT * FROM ({_selected(name, versions)})"
         for name, versions in {"all": None, "some": ["v7", "v2"], "one": ["v3"]}.items()
