@@ -181,7 +181,7 @@ def _bitmap(table: DataFrame, column: str, bits: int) -> bytes:
 
 
 def _shared_lists(postings: DataFrame, threshold: int) -> DataFrame:
-    """shingle, class, n, position, is_hub: postings of the shingles that two classes have.
+    """shingle, class, n, position, is_hub: postings of the shingles that two classes have, staged.
 
     A list's hub is the class with the fewest prefix shingles of its own, then the smallest: among near copies of one
     text that is the least changed one, which most others link with.
@@ -199,12 +199,17 @@ def _shared_lists(postings: DataFrame, threshold: int) -> DataFrame:
 
     screened = postings.mapInArrow(screen, postings.schema).join(lists, "shingle")
     members = stage(_once(screened), "members")  # a class may come from several tasks
+    release(lists)
     prefix = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
     own = members.groupBy("class").agg(F.max(prefix).alias("prefix"), F.count("*").alias("in_lists"))
     order = F.shiftleft(F.least(F.col("prefix") - F.col("in_lists"), F.lit(32767)).cast("long"), 47) + F.shiftrightunsigned("class", 17)
     keyed = stage(members.join(own.select("class", order.alias("order")), "class"), "keyed")
+    release(members)
     first = keyed.groupBy("shingle").agg(F.min("order").alias("first"))
-    return keyed.join(first, "shingle").select("shingle", "class", "n", "position", (F.col("order") == F.col("first")).alias("is_hub"))
+    marked = keyed.join(first, "shingle").select("shingle", "class", "n", "position", (F.col("order") == F.col("first")).alias("is_hub"))
+    marked = stage(marked, "lists")
+    release(keyed)
+    return marked
 
 
 def _once(table: DataFrame, *more: str) -> DataFrame:
@@ -253,7 +258,9 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, threshold: int) -> DataFrame:
     """The pairs (a, b) that link. Only the sets of classes in a pair are made, from one document each."""
     asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    sets = stage(_sets(docs, stage(classes.join(asked, "class"), "wanted"), n), "sets")
+    wanted = stage(classes.join(asked, "class"), "wanted")
+    sets = stage(_sets(docs, wanted, n), "sets")
+    release(wanted)
     left, right = (sets.select(F.col("class").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
     both = pairs.join(right, "b").join(left, "a")
 
@@ -275,20 +282,40 @@ def _relabel(table: DataFrame, column: str, parents: DataFrame) -> DataFrame:
     ).drop("parent")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """class, component (its smallest class) for every class in `links` (a, b). Each round every node joins its smallest
-    neighbour if that is smaller, and the graph is contracted; a round at least halves the nodes that have links."""
-    edges = stage(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "edges")
+    neighbour if that is smaller, and the graph is contracted; a round at least halves the nodes that have links.
+
+    `known` is the result for earlier links: then only what `links` adds to it is worked through.
+    """
+    edges = links
+    if known is not None:
+        parents = known.select(F.col("class").alias("node"), F.col("component").alias("parent"))
+        edges = _relabel(_relabel(links, "a", parents), "b", parents)
+    edges = _edges(edges)
     members = None
     while not edges.isEmpty():
         parents = stage(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")), "parents")
         if members is None:
             nodes = edges.select(F.col("a").alias("class")).unionByName(edges.select(F.col("b").alias("class"))).distinct()
             members = nodes.withColumn("component", F.col("class"))
-        members = stage(_relabel(members, "component", parents).select("class", "component"), "members")
-        moved = _relabel(_relabel(edges, "a", parents), "b", parents)
-        edges = stage(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "edges")
-    return members if members is not None else links.select(F.col("a").alias("class"), F.col("b").alias("component")).limit(0)
+        before, members = members, stage(_relabel(members, "component", parents).select("class", "component"), "members")
+        moved = _edges(_relabel(_relabel(edges, "a", parents), "b", parents))
+        release(before, edges, parents)
+        edges = moved
+    release(edges)
+    if members is None:
+        return known if known is not None else links.select(F.col("a").alias("class"), F.col("b").alias("component")).limit(0)
+    if known is None:
+        return members
+    moved = _relabel(known, "component", members.select(F.col("class").alias("node"), F.col("component").alias("parent")))
+    added = members.join(known, "class", "left_anti")
+    return stage(moved.select("class", "component").unionByName(added), "members")
+
+
+def _edges(pairs: DataFrame) -> DataFrame:
+    """The distinct edges (a < b) of pairs (a, b), staged."""
+    return stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "edges")
 
 
 def _pairs(asking: DataFrame, others: DataFrame, threshold: int, apart) -> DataFrame:
@@ -302,13 +329,12 @@ def _pairs(asking: DataFrame, others: DataFrame, threshold: int, apart) -> DataF
 def class_components(docs: DataFrame, classes: DataFrame, levels: bytes, n: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """class, component for the classes that link with another. `classes`: class, doc_id of one of its documents."""
     postings = stage(_postings(docs, levels, n, threshold), "postings")
-    lists = stage(_shared_lists(postings, threshold), "lists")
+    lists = _shared_lists(postings, threshold)
     release(postings)
 
     hubs, others = lists.where("is_hub"), lists.where("not is_hub")
     tested = stage(_pairs(hubs, others, threshold, F.lit(True)), "pairs")
-    links = _verified(tested, docs, classes, n, threshold)
-    members = components(links)
+    members = components(_verified(tested, docs, classes, n, threshold))
 
     # What is open after the hubs: lists whose other members are in several components.
     for further in (FURTHER_HUBS, None):
@@ -324,9 +350,9 @@ def class_components(docs: DataFrame, classes: DataFrame, levels: bytes, n: int
         else:
             apart = apart & (F.col("x.class") < F.col("y.class"))
         pairs = stage(_pairs(asking, rest, threshold, apart).join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(_verified(pairs, docs, classes, n, threshold))
+        release(rest)
+        members = components(_verified(pairs, docs, classes, n, threshold), members)
         tested = tested.unionByName(pairs)
-        members = components(links)
     return members
 
 
