@@ -35,7 +35,8 @@ def fit_cells(vectors: DataFrame, cells: int, seed: int = 0) -> CellIndex:
     if not 0 < cells <= MAX_CELLS:
         raise ValueError(f"cells must be in 1..{MAX_CELLS}")
     rows = vectors.select(array_to_vector("embedding").alias("features")).where(is_finite(F.col("embedding")))
-    centres = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(rows).clusterCenters())
+    # The block solver fails where the data yield fewer centres than asked for.
+    centres = np.array(KMeans(k=cells, seed=seed, maxIter=10, solver="row").fit(rows).clusterCenters())
     return CellIndex(centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12))
 
 
