@@ -45,6 +45,20 @@ def _check_join(spark, rows):
     assert got == sorted((i, len(s), c) for (i, _), s, c in zip(rows, sets, want))
 
 
+def test_join_with_null_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(base))
+    # 7 and 9 link only through a text that rows without a doc_id alone hold; two more texts have no doc_id at all.
+    chain = [(9, near(0, 59)), (None, near(0)), (None, near(0)), (7, near())]
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = chain + [(None, other), (None, other + " v40"), (None, None), (None, "alone"), (3, "not alone")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], DOCS).repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()), key=repr)
+    assert got == sorted([
+        (9, 56, 7), (None, 56, 7), (None, 56, 7), (7, 56, 7), (None, 36, None), (None, 37, None), (None, 0, None), (None, 1, None), (3, 1, 3),
+    ], key=repr)
+
+
 def test_join_of_chains_copies_and_short_texts(spark):
     pick = random.Random(11)
     vocabulary = [f"w{i}" for i in range(300)]

@@ -16,7 +16,8 @@ with equal sets form a class, and only classes are joined. Two classes link when
    member and list, not all pairs. Components are what links give; links inside a component are not listed.
 
 Shingles and classes are told apart by 64-bit hashes. Null texts and texts without words have empty sets and link with
-nothing. Repeated rows are in one class. An empty table gives an empty result. Other columns are ignored.
+nothing. Repeated rows are in one class. Rows with a null doc_id link like others; their component_id is the smallest
+doc_id of the component, or null where none of its rows has one. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -166,12 +167,12 @@ def _mark(values: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _bitmap(table: DataFrame, column: str, bits: int) -> bytes:
-    """A bit for each value of a column of longs. The size is fixed: the more values, the less it tells apart."""
+    """A bit for each value of a column of longs, null counting as 0. The size is fixed: the more values, the less it tells apart."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(bits, bool)
         for batch in batches:
-            found[_mark(batch.column(0).to_numpy(), bits)] = True
+            found[_mark(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), bits)] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(found).tobytes()])], names=["bits"])
 
     total = np.zeros(bits // 8, "u1")
@@ -226,22 +227,37 @@ def _passes(a: str, b: str, threshold: int):
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """class, shingles (sorted hashes) for `wanted`: doc_id, class. A bitmap lets the scan skip most others."""
+    """class, shingles (sorted hashes) for `wanted`: doc_id (null where only rows without one have the text), class. A
+    bitmap lets the scan skip most others."""
     picked = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, "doc_id", _PICK_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(picked.value, "u1"))
+        seen: set[int] = set()  # classes of rows without a doc_id: a task lists one once as long as it remembers it
         for batch in smaller(batches, 4096):
             ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
             for part in smaller([batch.take(pa.array(np.flatnonzero(bits[_mark(ids, _PICK_BITS)])))], _BATCH):
-                own = [shingle_set(t, n) for t in texts_of(part)]
-                yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array([_class_of(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary()),
-                ], names=["doc_id", "class", "shingles"])
+                out = []
+                for key, text in zip(part.column("doc_id").to_pylist(), texts_of(part)):
+                    own = shingle_set(text, n)
+                    name = _class_of(own)
+                    if key is None:
+                        if name in seen:
+                            continue
+                        if len(seen) >= 1_000_000:
+                            seen.clear()
+                        seen.add(name)
+                    out.append((key, name, own.tobytes()))
+                columns = list(zip(*out)) or [()] * 3
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "class", "shingles"]
+                )
 
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, class long, shingles binary")
     # Rows that repeat a doc_id may hold other texts: the class tells.
-    return made.join(wanted, ["doc_id", "class"]).dropDuplicates(["doc_id", "class"]).select("class", "shingles")
+    named = wanted.select(F.col("doc_id").alias("of"), F.col("class").alias("of_class"))
+    same = (F.col("class") == F.col("of_class")) & F.col("doc_id").eqNullSafe(F.col("of"))
+    return made.join(named, same).dropDuplicates(["doc_id", "class"]).select("class", "shingles")
 
 
 def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
