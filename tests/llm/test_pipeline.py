@@ -31,3 +31,20 @@ def test_stages_do_what_they_say(spark):
     assert set(mixed) <= set(apart) and max(Counter(r.doc_id for r in kept[-1]).values()) <= 2
     final = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert len(final) == len(kept[-1]) and all(r.exact and r.n_tokens == len(r.ids) for r in final)
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = lambda k, *at: " ".join("x" if i in at else f"w{k}v{i}" for i in range(40))
+    rows = [(1, text(1), "a")] * 6  # one row again and again
+    rows += [(2, text(2), "a"), (2, text(1), "a"), (None, text(2), "b")]  # a copy under the id of a kept row, one without
+    rows += [(None, text(3), "b")] * 3 + [(None, text(3, 0), "b"), (5, text(4), "a"), (5, text(4, 39), "a"), (5, text(5), "b")]
+    rows += [(None, None, "a"), (8, "", "b")]
+    docs = corpus_pipeline.stage(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), "pipeline-test")
+    seen = []
+    for apply in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.mix_sources):
+        docs = corpus_pipeline.stage(apply(spark, docs, SF), "pipeline-test")
+        seen.append(Counter((r.doc_id, r.text) for r in docs.collect()))
+    unique, apart, mixed = seen
+    assert unique == Counter([(1, text(1)), (2, text(2)), (None, text(3)), (None, text(3, 0)), (5, text(4)), (5, text(4, 39)), (5, text(5)), (8, "")])
+    assert sum(apart.values()) == 6 and set(apart) <= set(unique) and {t[-4:] for _, t in apart} >= {"1v39", "2v39", "3v39", "5v39"}
+    assert set(mixed) <= set(apart) and max(mixed.values()) <= 2 and any(i is None for i, _ in mixed)

@@ -38,11 +38,15 @@ STRETCH = 4096
 CELLS = 4096
 
 
-def sized(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, shuffle key and its bucket: all that mixing needs of a document."""
+def _kept(row_key: str | None) -> list[str]:
+    return [row_key] if row_key else []
+
+
+def sized(docs: DataFrame, seed: str = "mix", row_key: str | None = None) -> DataFrame:
+    """doc_id, source, size, shuffle key and its bucket (and `row_key`): all that mixing needs of a document."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return docs.select("doc_id", "source", size.alias("size"), key.alias("key")).withColumn(
+    return docs.select("doc_id", "source", size.alias("size"), key.alias("key"), *_kept(row_key)).withColumn(
         "bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int")
     )
 
@@ -110,7 +114,7 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return wanted.unionByName(added)
 
 
-def _placed(docs: DataFrame, sources: DataFrame) -> DataFrame:
+def _placed(docs: DataFrame, sources: DataFrame, row_key: str | None = None) -> DataFrame:
     """Where each document starts in its source's stream, with all about its source."""
     per_bucket = docs.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -119,16 +123,16 @@ def _placed(docs: DataFrame, sources: DataFrame) -> DataFrame:
     buckets = buckets.join(renamed, F.col("source").eqNullSafe(F.col("of_source"))).select(
         F.col("of_source"), F.col("bucket").alias("of_bucket"), "base", "source_no", "source_size", "target", "need"
     )
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *_kept(row_key)).rowsBetween(Window.unboundedPreceding, 0)
     located = docs.withColumn("upto", F.sum("size").over(inside))
     same = F.col("source").eqNullSafe(F.col("of_source")) & (F.col("bucket") == F.col("of_bucket"))
     return located.join(buckets, same).select(
         "doc_id", "source", "source_no", "size", "source_size", "target", "need",
-        (F.col("base") + F.col("upto") - F.col("size")).alias("start"),
+        (F.col("base") + F.col("upto") - F.col("size")).alias("start"), *_kept(row_key),
     )
 
 
-def _pieces(placed: DataFrame, block_words: int) -> DataFrame:
+def _pieces(placed: DataFrame, block_words: int, row_key: str | None = None) -> DataFrame:
     """Each document cut at block ends, once for each time it can be taken, up to its source's target."""
     times = placed.where("size > 0").withColumn("turn", F.explode(F.array(*[F.lit(i) for i in range(REPEATS)])))
     begin = F.col("turn") * F.col("source_size") + F.col("start")
@@ -139,24 +143,25 @@ def _pieces(placed: DataFrame, block_words: int) -> DataFrame:
     last = F.least(F.col("end"), (F.col("block") + 1) * block_words)
     return cut.select(
         "doc_id", "source", "source_no", "size", "source_size", "target", "start", "turn", "block",
-        (first - F.col("begin")).alias("from_word"), (last - first).alias("n_words"),
+        (first - F.col("begin")).alias("from_word"), (last - first).alias("n_words"), *_kept(row_key),
     )
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, row_key: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(mixture, per document).
 
     mixture: slot, doc_id, source, size, start, turn, from_word, n_words: the pieces of the mix; sort by slot, turn and start to read
     them in order. Per document: doc_id, source, size, source_size, target, taken; one row for each row of `docs`.
+    With `row_key`, a column that tells rows apart, the mixture has it too, and it orders rows that share doc_id and size.
     """
-    docs = stage(sized(docs), "sized")
+    docs = stage(sized(docs, row_key=row_key), "sized")
     sources = stage(targets(docs), "targets")
-    placed = stage(_placed(docs, sources), "placed")
+    placed = stage(_placed(docs, sources, row_key), "placed")
     slots = schedule(sources, block_words)
-    mixture = _pieces(placed, block_words).join(slots, ["source_no", "block"])
+    mixture = _pieces(placed, block_words, row_key).join(slots, ["source_no", "block"])
     columns = ["doc_id", "source", "size", "source_size", "target", "start"]
     untaken = placed.select(*columns, F.lit(0).cast("long").alias("n_words"), F.when(F.col("size") == 0, F.monotonically_increasing_id()).alias("empty"))
     counted = mixture.select(*columns, "n_words", F.lit(None).cast("long").alias("empty")).unionByName(untaken)
     # Documents of a source start at different places, unless they are empty.
     per_document = counted.groupBy(*columns, "empty").agg(F.sum("n_words").alias("taken")).drop("start", "empty")
-    return mixture.select("slot", "doc_id", "source", "size", "start", "turn", "from_word", "n_words"), per_document
+    return mixture.select("slot", "doc_id", "source", "size", "start", "turn", "from_word", "n_words", *_kept(row_key)), per_document
