@@ -174,6 +174,13 @@ def test_toxicity_on_unseen_documents(spark):
     assert all((r.score >= 0.5) == (r.predicted == 1) and 0 <= r.score <= 1 for r in rows)
 
 
+def test_toxic_terms_come_from_all_labelled_rows(spark):
+    docs, labels = _comments(spark)
+    small = toxicity.train(docs, labels, sample_rows=60)
+    assert set(small.terms) == set(toxicity.train(docs, labels).terms)
+    assert {"vilegrub", "slagmop", "dreckpate", "foulnik"} <= set(small.terms)
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = _comments(spark, 50)
     rows = toxicity.score(docs, toxicity.train(docs, labels.limit(0))).collect()

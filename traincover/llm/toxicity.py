@@ -1,26 +1,28 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier on its posteriors.
 
-1. Terms. A document's terms are its distinct words in lower case and their beginnings of four to seven letters. Over the
-   labelled training rows, in a sample of at most `sample_rows` (chosen by a hash of doc_id), Spark counts in how many
-   toxic and other documents each term occurs. The `n_terms` most telling ones are kept.
+1. Terms. A document's terms are its distinct words in lower case and their beginnings of four to seven letters. Over all
+   labelled training rows Spark counts in how many toxic and other documents each term occurs. The `n_terms` most telling
+   ones are kept.
 2. Voters. Terms that speak for toxicity are dealt in turn to `n_lexicons` lexicon voters, which vote when a document has
    one of their terms; one more votes when none does. Pattern voters look at shouting, exclamation marks, long repeats
    of a character and the share of marks. No voter sees a label, lang, source or doc_id.
 3. Label model. Over all documents Spark adds up how often each two voters vote together. Votes come from a hidden
    class: covariance of two voters = p (1 - p) gap_i gap_j + what the class doesn't explain. Gaps (a voter's accuracy
    above chance) are solved from triples of voters, what is left over is the correlation of two voters given the class,
-   and a document's log-odds are linear in its votes with the inverse of that conditional covariance. The share p of toxic documents comes
-   from the sample. A labelled row's own label is one more voter of fixed accuracy.
-4. A logistic regression over the kept terms is fitted to the posteriors of the sample.
+   and a document's log-odds are linear in its votes with the inverse of that conditional covariance. The share p of toxic documents is
+   that of all labelled training rows. A labelled row's own label is one more voter of fixed accuracy.
+4. A logistic regression over the kept terms is fitted to the posteriors of a sample: at most `sample_rows` labelled
+   rows, chosen by a hash of doc_id.
 
 Null and empty texts have no terms and get the score of the intercept. Rows whose label is null, or whose document is
-missing, are not learnt from; several labels of one document count as toxic if one is. If the sample has no toxic row or nothing else, all
+missing, are not learnt from; several labels of one document count as toxic if one is. If they have no toxic row or nothing else, all
 scores are the (smoothed) share of toxic rows. An empty table gives an empty result. Whole texts are read everywhere.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from traincover.llm.base import fold, smaller
+from traincover.llm.jaccard import _bitmap as bitmap
+from traincover.llm.jaccard import _mark as mark
 from traincover.session import stage
 
 SAMPLE_ROWS = 20_000
@@ -44,6 +48,8 @@ HELD_OUT_FOLDS = 5
 _WORD = re.compile(r"[^\W\d_]+")
 _REPEAT = re.compile(r"(.)\1{4,}")
 _REMEMBERED = 300_000
+# Bits of the filter that keeps documents without a label out of the join.
+_LABEL_BITS = 1 << 26
 
 
 def word_terms(word: str) -> list[str]:
@@ -91,36 +97,66 @@ class TermReader:
         return np.fromiter(sorted(found), np.int64, len(found))
 
 
-def labelled_sample(labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[int, int]]:
-    """(doc_id, toxic) of at most `rows` training labels, those with the smallest hashes."""
+def training_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic (0 or 1): the labels that may be learnt from, one for each doc_id."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(HELD_OUT_FOLDS) != 0))
-    one_each = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return usable.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+
+
+def labelled_sample(usable: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[int, int]]:
+    """(doc_id, toxic) of at most `rows` training labels, those with the smallest hashes: what the classifier is fitted to."""
     # At most `rows` small rows reach the driver.
-    return [(r[0], int(r[1] > 0)) for r in one_each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()]
+    return [(r[0], r[1]) for r in usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "toxic").collect()]
 
 
-def _term_counts(docs: DataFrame, shared) -> DataFrame:
-    """term, n_toxic, n_other over the sampled documents."""
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, toxic: the documents that have a training label. A bitmap keeps most others out of the shuffle, the join decides."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(labels, "doc_id", _LABEL_BITS))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels = shared.value
-        for batch in smaller(batches, 2048):
-            counts: dict[str, list[int]] = {}
-            ids = batch.column("doc_id").to_pylist()
-            for row, i in enumerate(ids):
-                if i not in labels:
-                    continue
-                text = batch.column("text")[row].as_py() or ""
-                for term in {t for w in set(_WORD.findall(text.lower())) for t in word_terms(w)}:
-                    counts.setdefault(term, [0, 0])[1 - labels[i]] += 1
-            if counts:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(list(counts), pa.string()),
-                    pa.array([c[0] for c in counts.values()], pa.int64()),
-                    pa.array([c[1] for c in counts.values()], pa.int64()),
-                ], names=["term", "n_toxic", "n_other"])
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, "u1")
+        for batch in batches:
+            at = mark(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), _LABEL_BITS)
+            yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype("u1") & 1).astype(bool)))
 
-    partial = docs.select("doc_id", "text").mapInArrow(count, "term string, n_toxic long, n_other long")
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return asked.mapInArrow(screen, "doc_id long, text string").join(labels.hint("shuffle_hash"), "doc_id")
+
+
+def _term_counts(docs: DataFrame) -> DataFrame:
+    """term, n_toxic, n_other over `docs` (text, toxic)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[str]] = {}
+        counts = Counter(), Counter()
+
+        def flush() -> pa.RecordBatch:
+            terms = list(counts[0].keys() | counts[1].keys())
+            batch = pa.RecordBatch.from_arrays([
+                pa.array(terms, pa.string()),
+                pa.array([counts[1][t] for t in terms], pa.int64()),
+                pa.array([counts[0][t] for t in terms], pa.int64()),
+            ], names=["term", "n_toxic", "n_other"])
+            for c in counts:
+                c.clear()
+            return batch
+
+        for batch in smaller(batches, 256):
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                found: set[str] = set()
+                for word in set(_WORD.findall((text or "").lower())):
+                    terms = known.get(word)
+                    if terms is None:
+                        if len(known) >= _REMEMBERED:
+                            known.clear()
+                        terms = known[word] = word_terms(word)
+                    found.update(terms)
+                counts[toxic].update(found)
+            if len(counts[0]) + len(counts[1]) >= _REMEMBERED:
+                yield flush()
+        yield flush()
+
+    partial = docs.select("text", "toxic").mapInArrow(count, "term string, n_toxic long, n_other long")
     return partial.groupBy("term").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_other").alias("n_other"))
 
 
@@ -278,12 +314,16 @@ def _sample_rows(docs: DataFrame, shared) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on `docs` (doc_id, text) and `labels` (doc_id, toxic)."""
     context = docs.sparkSession.sparkContext
-    sample = dict(labelled_sample(labels, sample_rows))
-    n_toxic = sum(sample.values())
-    share = (n_toxic + 0.5) / (len(sample) + 1)
-    if not 0 < n_toxic < len(sample):
+    usable = stage(training_labels(labels), "toxic-labels")
+    labelled = _labelled(docs, usable)
+    # Repeated rows of a document are rows of their own, here as in the counts of terms.
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(usable, "doc_id")
+    n_toxic, n_labelled = met.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
+    share = (n_toxic + 0.5) / (n_labelled + 1)
+    if not 0 < n_toxic < n_labelled:
         return Model({}, np.zeros(0), float(np.log(share / (1 - share))))
-    chosen = choose_terms(_term_counts(docs, context.broadcast(sample)), n_toxic, len(sample) - n_toxic)
+    chosen = choose_terms(_term_counts(labelled), n_toxic, n_labelled - n_toxic)
+    sample = dict(labelled_sample(usable, sample_rows))
     terms = {term: k for k, (term, _) in enumerate(chosen)}
     voters = Voters(np.array([odds for _, odds in chosen]))
     label_model = LabelModel(*_vote_sums(docs, context.broadcast((terms, voters))), share)
