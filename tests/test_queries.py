@@ -4,6 +4,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from tests.compare import connect, difference
+from traincover.plans import on_tables
 from traincover.plans.expected_sql import EXPECTED
 from traincover.plans.on_tables import QUERIES
 
@@ -32,3 +33,9 @@ def test_recall_is_whole_when_every_cell_is_probed(spark):
 
 def test_entry_runs(spark):
     assert entry(spark).count() == 21
+
+
+def test_lines_hold_all_turns_of_conversations(spark, con):
+    lines = on_tables.jsonl_lines(spark, SF).where("value like '{\"data_uuid\"%'")
+    turns = lines.selectExpr("size(try_variant_get(parse_json(value), '$.data', 'array<variant>')) AS n").agg({"n": "sum"}).first()[0]
+    assert turns == con.sql("SELECT count(*) FROM conversations").fetchall()[0][0]

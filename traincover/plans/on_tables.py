@@ -337,14 +337,15 @@ def nonblank_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 # JSON
 
 
-def first_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One annotation record per conversation: its first two turns, described by the document of the same id.
+def messages(spark: SparkSession, sf_dir: str, first: int | None = None) -> DataFrame:
+    """One annotation record per conversation: all its turns or the `first`, described by the document of the same id.
 
     Only user turns carry an image, so a conversation that opens with another role makes an unusable record.
     """
     by_turn = Window.partitionBy("conv_id").orderBy("turn")
-    # The limit on the row number reaches below the shuffle: a huge conversation sends two rows per task.
-    turns = _read(spark, sf_dir, "conversations").withColumn("at", F.row_number().over(by_turn)).where("at <= 2")
+    turns = _read(spark, sf_dir, "conversations").withColumn("at", F.row_number().over(by_turn))
+    if first:  # the limit on the row number reaches below the shuffle: a huge conversation sends so many rows per task
+        turns = turns.where(F.col("at") <= first)
     image = F.struct(
         F.lit("image").alias("type"),
         F.struct(F.format_string("turns/%d.jpg", "conv_id").alias("relative_path")).alias("image"),
@@ -355,7 +356,7 @@ def first_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.col("text").alias("string")).alias("text"),
     )
     content = F.when(F.col("role") == "user", F.array(words, image)).otherwise(F.array(words))
-    messages = turns.groupBy("conv_id").agg(
+    said = turns.groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct("at", "role", content.alias("content")))).alias("data")
     )
     described = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), "source", "lang")
@@ -370,14 +371,14 @@ def first_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.array(F.struct(F.lit("annotator").alias("model_name"))).alias("task_oriented_data"))
         .alias("data_generated_info"),
     )
-    return messages.join(described, "conv_id", "left").select(F.to_json(record).alias("value"))
+    return said.join(described, "conv_id", "left").select(F.to_json(record).alias("value"))
 
 
 def jsonl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of three kinds: records, JSON that is no record, prose."""
     events = _read(spark, sf_dir, "events").select(F.col("props").alias("value"))
     prose = _read(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("value"))
-    return first_messages(spark, sf_dir).unionByName(events).unionByName(prose)
+    return messages(spark, sf_dir).unionByName(events).unionByName(prose)
 
 
 def _parsed(lines: DataFrame) -> DataFrame:
@@ -386,7 +387,7 @@ def _parsed(lines: DataFrame) -> DataFrame:
 
 def first_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records parsed from the conversations."""
-    rows = _parsed(first_messages(spark, sf_dir)).where(F.col("status") == annotations.STATUS_OK)
+    rows = _parsed(messages(spark, sf_dir, first=2)).where(F.col("status") == annotations.STATUS_OK)
     return rows.select(
         "data_uuid", "image_relative_path", "annotation", "entity_name", F.array_join("entity_tags", ",").alias("tags"),
         "source_name", "model_name",
