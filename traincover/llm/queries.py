@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traincover.llm import chat, exact, jaccard, langid, linededup, mixing, mtree, ngramlm, sentpiece, toxicity
+from traincover.llm import chat, exact, hardneg, jaccard, langid, linededup, mixing, mtree, ngramlm, sentpiece, toxicity
 from traincover.llm.base import fold, read
 
 # A conversation whose texts look like the template.
@@ -86,7 +86,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.query_table(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_lm_scoring, op3_jaccard_join, op4_chat_format, op5_exact_topk, op6_sentencepiece,
-    op7_mix_sources, op8_line_dedup, op9_exact_dedup, op10_toxicity,
+    op7_mix_sources, op8_line_dedup, op9_exact_dedup, op10_toxicity, op11_hard_negatives,
 )}

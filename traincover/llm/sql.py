@@ -61,6 +61,29 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM pairs QUALIFY rank <= 20
 """
 
+_HARD = """
+WITH v AS (
+    SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+scored AS (
+    SELECT a.k AS ak, a.vec_id AS anchor_id, a.label AS al, c.k, c.vec_id, c.label, list_inner_product(a.v, c.v)::BIGINT AS score
+    FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.k <> a.k
+),
+positives AS (
+    SELECT ak, anchor_id, al, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = al
+    QUALIFY row_number() OVER (PARTITION BY ak ORDER BY score DESC, vec_id NULLS LAST, k) <= 5
+)
+SELECT p.anchor_id, positive_id,
+    row_number() OVER (PARTITION BY p.ak, positive_id ORDER BY s.score DESC, s.vec_id NULLS LAST, s.k)::INTEGER AS rank,
+    s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.ak = p.ak AND s.label <> p.al
+    AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+QUALIFY rank <= 5
+"""
+
 _MIX = rf"""
 WITH sized AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size,
@@ -131,4 +154,5 @@ EXPECTED = {
     "op7_mix_sources": _MIX,
     "op8_line_dedup": _LINES,
     "op9_exact_dedup": _EXACT,
+    "op11_hard_negatives": _HARD,
 }
