@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traincover.llm import chat, exact, hardneg, jaccard, langid, linededup, mixing, mtree, ngramlm, periodic, sentpiece, toxicity
+from traincover.llm import chat, exact, hardneg, jaccard, langid, linededup, mixing, mtree, ngramlm, packing, periodic, sentpiece, toxicity
 from traincover.llm.base import fold, read
 
 # A conversation whose texts look like the template.
@@ -94,7 +94,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.query_table(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_lm_scoring, op3_jaccard_join, op4_chat_format, op5_exact_topk, op6_sentencepiece,
     op7_mix_sources, op8_line_dedup, op9_exact_dedup, op10_toxicity, op11_hard_negatives, op12_periodic_runs,
+    op13_packing,
 )}
