@@ -166,7 +166,10 @@ def planted(doc_id: Column, words: Column) -> Column:
     n = F.size(words)
     a = F.when(n > 0, g % n)
     p = 1 + F.floor((n - a) / (3 + g % 8))
-    moved = F.transform(words, lambda w, i: F.when(i >= a, F.element_at(words, (a + (i - a) % p + 1).cast("int"))).otherwise(w))
+    # Slices only: a lambda that reads `words` would evaluate the expression behind it once for every word.
+    block = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    repeated = F.flatten(F.array_repeat(block, F.ceil((n - a) / p).cast("int")))
+    moved = F.concat(F.slice(words, 1, a.cast("int")), F.slice(repeated, 1, (n - a).cast("int")))
     return F.when((h % 10 == 0) & (n > 0), moved).otherwise(words)
 
 
