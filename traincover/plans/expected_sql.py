@@ -360,9 +360,12 @@ EXPECTED = {
         SELECT page_id, 'tar:///data/' || page_id || '.tar::a::' || url AS uri, '/data/' || page_id || '.tar' AS archive,
                'a::' || url AS member, 1 AS is_uri
         FROM pages""",
-    "dense_ids": f"""WITH {_NUMBERED}
-        SELECT doc_id, global_id, row_number() OVER (ORDER BY global_id % {SHARDS}, global_id) - 1 AS index_id
-        FROM numbered WHERE doc_id IN (SELECT vec_id FROM embeddings)""",
+    "dense_ids": f"""WITH {_NUMBERED},
+        indexed AS (
+            SELECT global_id, row_number() OVER (ORDER BY global_id % {SHARDS}, global_id) - 1 AS index_id
+            FROM numbered WHERE doc_id IN (SELECT vec_id FROM embeddings)
+        )
+        SELECT doc_id, global_id, index_id FROM numbered LEFT JOIN indexed USING (global_id)""",
     "shard_sizes": f"WITH {_NUMBERED} SELECT global_id % {SHARDS} AS shard, count(*) AS n FROM numbered GROUP BY shard",
 }
 

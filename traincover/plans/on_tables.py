@@ -502,12 +502,12 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`global_id` in scan order and, for those with an embedding, `index_id` in shard order."""
+    """Every document with its `global_id` in scan order; those with an embedding also get `index_id` in shard order,
+    the others a NULL one."""
     numbered = _numbered(spark, sf_dir)
     embedded = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
-    return ids.shard_ids(numbered.join(embedded, "doc_id", "left_semi"), SHARDS).select(
-        "doc_id", "global_id", "index_id"
-    )
+    indexed = ids.shard_ids(numbered.join(embedded, "doc_id", "left_semi"), SHARDS).select("global_id", "index_id")
+    return numbered.select("doc_id", "global_id").join(indexed, "global_id", "left").select("doc_id", "global_id", "index_id")
 
 
 def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
