@@ -21,6 +21,7 @@ gives no pieces. Every id lies in exactly one piece. Other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -52,8 +53,14 @@ def read_tokenizer(path: str | None = None) -> tuple[bytes, str]:
         return f.read(), public_tokenizers.PATTERN
 
 
+def _width(largest: int) -> str:
+    """Little-endian unsigned type for ids up to `largest`: two bytes where they suffice (staged and moved that way)."""
+    return "<u2" if largest < 1 << 16 else "<u4"
+
+
 def tokenized(docs: DataFrame, tokenizer: tuple[bytes, str], end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit), doc_tokens, _part, _key: staged, one row per document row."""
+    """doc_id, ids (little-endian unsigned, 2 or 4 bytes each as `_width` says), doc_tokens, _part, _key: staged, one row
+    per document row."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def encode(batches):
@@ -64,9 +71,10 @@ def tokenized(docs: DataFrame, tokenizer: tuple[bytes, str], end_id: int = END_I
         table, pattern = shared.value
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, table.splitlines()) if a}
         coder = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        width = _width(max([*ranks.values(), end_id]))
         for batch in smaller(batches, ENCODE_ROWS):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            coded = [np.array([*ids, end_id], "<u4") for ids in coder.encode_ordinary_batch(texts, num_threads=1)]
+            coded = [np.array([*ids, end_id], width) for ids in coder.encode_ordinary_batch(texts, num_threads=1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([c.tobytes() for c in coded], pa.binary()),
                  pa.array([len(c) for c in coded], pa.int64())],
@@ -194,7 +202,10 @@ def pack(docs: DataFrame, tokenizer: tuple[bytes, str] | None = None, window: in
     `docs`: doc_id, text. `padded_length` is the length its sequence is padded to.
     """
     spark = docs.sparkSession
-    coded = tokenized(docs, tokenizer or read_tokenizer())
+    tokenizer = tokenizer or read_tokenizer()
+    largest = max(int(line.split()[1]) for line in tokenizer[0].splitlines() if line.strip()) if tokenizer[0].strip() else 0
+    largest = max(largest, END_ID)
+    coded = tokenized(docs, tokenizer)
     meta = coded.select("_key", "_part", "doc_tokens")
     wholes = (F.col("doc_tokens") / window).cast("long")
     rest = F.col("doc_tokens") - wholes * window
@@ -243,9 +254,31 @@ def pack(docs: DataFrame, tokenizer: tuple[bytes, str] | None = None, window: in
     power = F.col("_filled").bitwiseAND(F.col("_filled") - 1) == 0
     padded = filled.select("sequence_id", F.when(power, F.col("_filled")).otherwise(F.lit(window)).cast("long").alias("padded_length"))
     out = pieces.join(coded.select("_key", "doc_id", "ids", "doc_tokens"), "_key").join(padded, "sequence_id")
-    piece_bytes = F.substring(F.col("ids"), (4 * F.col("start") + 1).cast("int"), (4 * F.col("length")).cast("int"))
-    return out.select(
-        "doc_id", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"),
-        F.crc32(piece_bytes).alias("ids_crc32"), "doc_tokens", F.col("sequence_id").cast("long").alias("sequence_id"),
-        F.col("offset").cast("long").alias("offset"), "padded_length",
+    out = out.select(
+        "doc_id", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), "ids",
+        "doc_tokens", F.col("sequence_id").cast("long").alias("sequence_id"), F.col("offset").cast("long").alias("offset"),
+        "padded_length",
     )
+    size = 2 if _width(largest) == "<u2" else 4
+    return out.mapInArrow(_checksums(size), PIECES)
+
+
+PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
+          "padded_length long")
+
+
+def _checksums(size: int):
+    """ids_crc32 of each piece: crc32 of its ids as little-endian unsigned 32-bit integers."""
+
+    def run(batches):
+        for batch in batches:
+            starts, lengths = batch.column("start").to_numpy(), batch.column("length").to_numpy()
+            sums = []
+            for ids, start, length in zip(batch.column("ids").to_pylist(), starts, lengths):
+                piece = np.frombuffer(ids, f"<u{size}")[start: start + length]
+                sums.append(zlib.crc32(piece.astype("<u4").tobytes()))
+            columns = {name: batch.column(name) for name in batch.schema.names if name != "ids"}
+            columns["ids_crc32"] = pa.array(sums, pa.int64())
+            yield pa.RecordBatch.from_arrays([columns[f.split()[0]] for f in PIECES.split(", ")], names=[f.split()[0] for f in PIECES.split(", ")])
+
+    return run
