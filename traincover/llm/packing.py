@@ -38,7 +38,7 @@ END_ID = 0
 STEPS = 3000
 ENCODE_ROWS = 64
 
-TOKENS = "doc_id long, ids binary, doc_tokens long"
+TOKENS = "doc_id long, doc_tokens long, window_crc32 array<long>, rest binary, rest_crc32 long"
 
 
 def read_tokenizer(path: str | None = None) -> tuple[bytes, str]:
@@ -58,9 +58,15 @@ def _width(largest: int) -> str:
     return "<u2" if largest < 1 << 16 else "<u4"
 
 
-def tokenized(docs: DataFrame, tokenizer: tuple[bytes, str], end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids (little-endian unsigned, 2 or 4 bytes each as `_width` says), doc_tokens, _part, _key: staged, one row
-    per document row."""
+def _crc(ids: np.ndarray) -> int:
+    """crc32 of ids as little-endian unsigned 32-bit integers."""
+    return zlib.crc32(ids.astype("<u4").tobytes())
+
+
+def tokenized(docs: DataFrame, tokenizer: tuple[bytes, str], window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+    """One row per document row, staged: doc_id, doc_tokens, window_crc32 (checksum of each whole window of its ids),
+    rest (the ids after the last whole window, little-endian unsigned, 2 or 4 bytes each as `_width` says), rest_crc32,
+    _part, _key. Ids themselves are kept only for the rest: pieces that whole windows make need no more."""
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def encode(batches):
@@ -74,11 +80,18 @@ def tokenized(docs: DataFrame, tokenizer: tuple[bytes, str], end_id: int = END_I
         width = _width(max([*ranks.values(), end_id]))
         for batch in smaller(batches, ENCODE_ROWS):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            coded = [np.array([*ids, end_id], width) for ids in coder.encode_ordinary_batch(texts, num_threads=1)]
+            sizes, windows, rests, rest_sums = [], [], [], []
+            for ids in coder.encode_ordinary_batch(texts, num_threads=1):
+                coded = np.array([*ids, end_id], width)
+                whole = len(coded) // window * window
+                sizes.append(len(coded))
+                windows.append([_crc(coded[i: i + window]) for i in range(0, whole, window)])
+                rests.append(coded[whole:].tobytes())
+                rest_sums.append(_crc(coded[whole:]) if whole < len(coded) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([c.tobytes() for c in coded], pa.binary()),
-                 pa.array([len(c) for c in coded], pa.int64())],
-                names=["doc_id", "ids", "doc_tokens"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(windows, pa.list_(pa.int64())),
+                 pa.array(rests, pa.binary()), pa.array(rest_sums, pa.int64())],
+                names=["doc_id", "doc_tokens", "window_crc32", "rest", "rest_crc32"],
             )
 
     coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -203,24 +216,22 @@ def pack(docs: DataFrame, tokenizer: tuple[bytes, str] | None = None, window: in
     """
     spark = docs.sparkSession
     tokenizer = tokenizer or read_tokenizer()
-    largest = max(int(line.split()[1]) for line in tokenizer[0].splitlines() if line.strip()) if tokenizer[0].strip() else 0
-    largest = max(largest, END_ID)
-    coded = tokenized(docs, tokenizer)
-    meta = coded.select("_key", "_part", "doc_tokens")
-    wholes = (F.col("doc_tokens") / window).cast("long")
-    rest = F.col("doc_tokens") - wholes * window
+    coded = tokenized(docs, tokenizer, window)
+    wholes = F.size("window_crc32").cast("long")
 
     # Whole windows: one sequence each, numbered in the order of their documents.
-    full = _before(meta.where(wholes > 0).withColumn("_n", wholes), [], "_n")
+    full = _before(coded.select("_key", "_part", "doc_id", "doc_tokens", "window_crc32", wholes.alias("_n")).where("_n > 0"), [], "_n")
     n_full = full.agg(F.sum("_n")).first()[0] or 0
-    full = full.select(
-        "_key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_i"), "_before",
-    ).select(
-        "_key", (F.col("_i") * window).alias("start"), F.lit(window).cast("long").alias("length"),
-        (F.col("_before") + F.col("_i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
+    full = full.select("doc_id", "doc_tokens", "_before", F.posexplode("window_crc32").alias("_i", "ids_crc32")).select(
+        "doc_id", (F.col("_i") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32",
+        "doc_tokens", (F.col("_before") + F.col("_i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
     )
 
-    rests = meta.where(rest > 0).select("_key", "_part", (wholes * window).alias("start"), rest.alias("length"), F.lit(1).alias("_one"))
+    rest = F.col("doc_tokens") - wholes * window
+    rests = coded.where(rest > 0).select(
+        "_key", "_part", "doc_id", "doc_tokens", "rest_crc32", (wholes * window).alias("start"), rest.alias("length"),
+        F.lit(1).alias("_one"),
+    )
     rests = stage(_before(rests, ["length"], "_one", across=False).withColumnRenamed("_before", "_rank"), "packing-rests")
     hist = {r.length: r.n for r in rests.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most a window's rows
     chosen = plan(hist, window, depth)
@@ -230,55 +241,66 @@ def pack(docs: DataFrame, tokenizer: tuple[bytes, str] | None = None, window: in
     combined = rests.join(F.broadcast(table), "length").where((F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
     at = F.col("_rank") - F.col("lo")
     combined = combined.select(
-        "_key", "start", "length", (F.col("first") + (at / F.col("m")).cast("long")).alias("sequence_id"),
+        "doc_id", "start", "length", F.col("rest_crc32").alias("ids_crc32"), "doc_tokens",
+        (F.col("first") + (at / F.col("m")).cast("long")).alias("sequence_id"),
         F.element_at("offsets", (at % F.col("m") + 1).cast("int")).alias("offset"),
     )
 
-    used = spark.createDataFrame([(length, int(hi)) for length, hi in
-                                  {s[0]: max(t[2] for t in slots if t[0] == s[0]) for s in slots}.items()] or [(0, 0)],
-                                 "length long, used long")
-    left = rests.join(F.broadcast(used), "length", "left").where(F.col("_rank") >= F.coalesce("used", F.lit(0)))
-    left = _before(left.drop("_before").withColumn("_longest", -F.col("length")), ["_longest"], "length")
+    used = {}
+    for length, _, hi, *_ in slots:
+        used[length] = max(used.get(length, 0), hi)
+    used_table = spark.createDataFrame(list(used.items()) or [(0, 0)], "length long, used long")
+    left = rests.join(F.broadcast(used_table), "length", "left").where(F.col("_rank") >= F.coalesce("used", F.lit(0)))
+    left = _before(left.withColumn("_longest", -F.col("length")), ["_longest"], "length")
     first_window = (F.col("_before") / window).cast("long")
     last_window = ((F.col("_before") + F.col("length") - 1) / window).cast("long")
-    cut = left.select("_key", "start", "length", "_before", F.explode(F.sequence(first_window, last_window)).alias("_w"))
+    cut = left.select(
+        "_key", "doc_id", "doc_tokens", "rest_crc32", "start", "length", "_before",
+        F.explode(F.sequence(first_window, last_window)).alias("_w"),
+    )
     lo = F.greatest(F.col("_before"), F.col("_w") * window)
     hi = F.least(F.col("_before") + F.col("length"), (F.col("_w") + 1) * window)
     cut = cut.select(
-        "_key", (F.col("start") + lo - F.col("_before")).alias("start"), (hi - lo).alias("length"),
+        "_key", "doc_id", "doc_tokens", "rest_crc32", (lo - F.col("_before")).alias("_in_rest"), (hi - lo).alias("_length"),
+        F.col("length").alias("_rest_length"), (F.col("start") + lo - F.col("_before")).alias("start"),
         (F.lit(n_full + n_combined) + F.col("_w")).alias("sequence_id"), (lo - F.col("_w") * window).alias("offset"),
     )
+    # A rest that a window boundary splits meets its ids once more; whole rests keep their checksum.
+    whole = cut.where(F.col("_length") == F.col("_rest_length")).select(
+        "doc_id", "start", F.col("_length").alias("length"), F.col("rest_crc32").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
+    )
+    split = cut.where(F.col("_length") < F.col("_rest_length")).join(coded.select("_key", "rest"), "_key")
+    size = 2 if _width(max(_largest(tokenizer[0]), END_ID)) == "<u2" else 4
+    split = split.select("doc_id", "start", "_length", "_in_rest", "rest", "doc_tokens", "sequence_id", "offset").mapInArrow(
+        _checksums(size), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
+    )
 
-    pieces = full.unionByName(combined).unionByName(cut)
+    pieces = full.unionByName(combined).unionByName(whole).unionByName(split)
     filled = pieces.groupBy("sequence_id").agg(F.sum("length").alias("_filled"))
     power = F.col("_filled").bitwiseAND(F.col("_filled") - 1) == 0
     padded = filled.select("sequence_id", F.when(power, F.col("_filled")).otherwise(F.lit(window)).cast("long").alias("padded_length"))
-    out = pieces.join(coded.select("_key", "doc_id", "ids", "doc_tokens"), "_key").join(padded, "sequence_id")
-    out = out.select(
-        "doc_id", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), "ids",
+    return pieces.join(padded, "sequence_id").select(
+        "doc_id", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), "ids_crc32",
         "doc_tokens", F.col("sequence_id").cast("long").alias("sequence_id"), F.col("offset").cast("long").alias("offset"),
         "padded_length",
     )
-    size = 2 if _width(largest) == "<u2" else 4
-    return out.mapInArrow(_checksums(size), PIECES)
 
 
-PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
-          "padded_length long")
+def _largest(ranks: bytes) -> int:
+    return max((int(line.split()[1]) for line in ranks.splitlines() if line.strip()), default=0)
 
 
 def _checksums(size: int):
-    """ids_crc32 of each piece: crc32 of its ids as little-endian unsigned 32-bit integers."""
+    """ids_crc32 of the part [_in_rest, _in_rest + _length) of each rest."""
 
     def run(batches):
         for batch in batches:
-            starts, lengths = batch.column("start").to_numpy(), batch.column("length").to_numpy()
-            sums = []
-            for ids, start, length in zip(batch.column("ids").to_pylist(), starts, lengths):
-                piece = np.frombuffer(ids, f"<u{size}")[start: start + length]
-                sums.append(zlib.crc32(piece.astype("<u4").tobytes()))
-            columns = {name: batch.column(name) for name in batch.schema.names if name != "ids"}
-            columns["ids_crc32"] = pa.array(sums, pa.int64())
-            yield pa.RecordBatch.from_arrays([columns[f.split()[0]] for f in PIECES.split(", ")], names=[f.split()[0] for f in PIECES.split(", ")])
+            starts, lengths = batch.column("_in_rest").to_numpy(), batch.column("_length").to_numpy()
+            sums = [_crc(np.frombuffer(rest, f"<u{size}")[s: s + n]) for rest, s, n in zip(batch.column("rest").to_pylist(), starts, lengths)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("start"), batch.column("_length"), pa.array(sums, pa.int64()),
+                 batch.column("doc_tokens"), batch.column("sequence_id"), batch.column("offset")],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+            )
 
     return run
