@@ -86,8 +86,11 @@ def approximate_topk(
         corpus = house(corpus.select("version_pos", "index_id", vector), index)
     housed = corpus.select("version_pos", "index_id", vector, "cell").where(is_finite(F.col("embedding")))
     probes = nearest_cells(queries, index, nprobe).select("sample_id", "embedding", F.explode("cells").alias("cell"))
-    # One row per cell (at most MAX_CELLS): how many chunks and fragments it needs.
-    chunks = probes.groupBy("cell").agg(F.ceil(F.count("*") / topk.CHUNK_QUERIES).cast("int").alias("chunks"))
+    # One row per probed cell (at most MAX_CELLS): how many chunks it needs. Only probed cells of the corpus are read;
+    # where the corpus is stored by cell (`sources.vectors.write_cells`) the others' folders are pruned.
+    probed = probes.groupBy("cell").agg(F.ceil(F.count("*") / topk.CHUNK_QUERIES).cast("int").alias("chunks")).collect()
+    housed = housed.where(F.col("cell").isin([row.cell for row in probed]))
+    chunks = queries.sparkSession.createDataFrame(probed, "cell int, chunks int")
     fragments = housed.groupBy("cell").agg(F.ceil(F.count("*") / topk.FRAGMENT_ROWS).cast("int").alias("fragments"))
     sizes = F.broadcast(chunks.join(fragments, "cell"))
 
@@ -108,6 +111,14 @@ def approximate_topk(
     return topk.final_ranking(topk.block_partials(left, right, k, schema), k)
 
 
+def load_index(spark, root: str, version: str | None = None) -> tuple[CellIndex, DataFrame]:
+    """A stored cell index: its centres and its vectors by cell, ready for `approximate_topk` or `search(index=...)`."""
+    from traincover.sources.vectors import read_cells
+
+    centres, vectors = read_cells(spark, root, version)
+    return CellIndex(centres), vectors
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """(n_exact, n_found, recall): the share of exactly ranked ids that the approximate search found too."""
     key = ["sample_id", "version_pos", "index_id"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from traincover.functions.paths import escape_glob
 from traincover.functions.text import is_blank
+from traincover.operators import ann as approximate
 from traincover.operators import embed, ids, quality
 from traincover.session import release, stage
 from traincover.sources import annotations as ann
@@ -68,9 +69,13 @@ def build_version(
     run_qc: bool = True,
     huge_archives: bool = False,
     profile: ResourceProfile | None = None,
+    cells: int | None = None,
 ) -> dict[str, int]:
     """Build and store one version; returns the number of vectors per modality.
 
+    With `cells`, an approximate index is stored beside it too: that many centres fitted on all its image vectors, and
+    the image vectors by cell (`sources.vectors.write_cells`; load it with `operators.ann.load_index`).
+
     The quality report is printed; it removes nothing. A tree without valid data is an error. With `huge_archives`
     the archives are listed once beforehand, so that many tasks can share one without walking through it each.
     """
@@ -85,4 +90,8 @@ def build_version(
     vec.write_version(vectors, index_root, version)
     release(annotated, vectors)
     stored = vec.read_vectors(spark, index_root).where(F.col("version") == (version or vec.DEFAULT_VERSION))
+    if cells:
+        images = stored.where(F.col("modality") == vec.IMAGE)
+        index = approximate.fit_cells(images, cells)
+        vec.write_cells(approximate.house(images, index), index.centres, index_root, version)
     return {row.modality: row["count"] for row in stored.groupBy("modality").count().collect()}

@@ -369,5 +369,8 @@ EXPECTED = {
     "shard_sizes": f"WITH {_NUMBERED} SELECT global_id % {SHARDS} AS shard, count(*) AS n FROM numbered GROUP BY shard",
 }
 
+# The stored index answers as the one built in memory.
+EXPECTED["ann_stored"] = EXPECTED["ann_search"]
+
 # The inner score is needed for the ranking only.
 EXPECTED["search_topk"] = f"SELECT sample_id, rank, index_id, score FROM ({EXPECTED['search_topk']})"

@@ -10,6 +10,8 @@ Stand-ins for the image-and-text data of a real run:
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from traincover.functions import jsonpath, paths, text, vectors
 from traincover.operators import ann, coverage, embed, fields, ids, quality, search, topk
 from traincover.plans import evaluate, export
-from traincover.session import configure, spread, stage
+from traincover.session import configure, spread, stage, staging_root
 from traincover.sources import annotations, benchmark
 from traincover.sources import vectors as table
 
@@ -166,6 +168,22 @@ def ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("sample_id", "rank", "index_id", _rounded("score"))
 
 
+def ann_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`ann_search` through a stored index: the vectors written by cell beside a version, loaded, two cells probed."""
+    rows = _read(spark, sf_dir, "embeddings")
+    index = _label_centres(rows)
+    corpus = rows.select(
+        F.col("vec_id").alias("index_id"), "embedding", F.col("vec_id").alias("global_id"), F.lit(table.IMAGE).alias("modality"),
+        *(F.lit(None).cast("string").alias(name) for name in ("image_path", "text", "annotation", "source")),
+    )
+    root = f"{staging_root(spark)}/traincover-staged-cells-{uuid.uuid4().hex}"
+    table.write_cells(ann.house(corpus, index), index.centres, root)
+    loaded, stored = ann.load_index(spark, root)
+    queries = rows.select(F.col("vec_id").alias("sample_id"), "embedding")
+    found = search.rank(queries, stored, table.IMAGE, [table.DEFAULT_VERSION], k=TOP_K, index=loaded, nprobe=2)
+    return found.select("sample_id", "rank", "index_id", _rounded("score"))
+
+
 def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the exact matches that the approximate search finds, by the number of cells probed."""
     queries, corpus = _image_queries(spark, sf_dir), image_vectors(spark, sf_dir)
@@ -524,6 +542,7 @@ QUERIES = {
     "score_bands": score_bands,
     "ann_search": ann_search,
     "ann_recall": ann_recall,
+    "ann_stored": ann_stored,
     "coverage_samples": coverage_samples,
     "coverage_agree": coverage_agree,
     "coverage_summary": coverage_summary,

@@ -1,7 +1,11 @@
-"""The versioned vector table: <root>/version=<v>/modality=<image|text>/*.parquet."""
+"""The versioned vector table: <root>/version=<v>/modality=<image|text>/*.parquet.
+
+A version may have a cell index beside it: <root>/_cells/version=<v>/centres and .../vectors/modality=<m>/cell=<c>.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,6 +83,46 @@ def active_versions(vectors: DataFrame, selected: list[str] | None = None) -> li
     return [name for name in dict.fromkeys(selected) if name in known]
 
 
+# Cell indexes live beside the versions, in a folder the vector table's listing skips (leading underscore).
+CELLS = "_cells"
+CELL_SCHEMA = T.StructType([*(f for f in SCHEMA.fields if f.name not in ("version", "modality")),
+                            T.StructField("modality", T.StringType()), T.StructField("cell", T.IntegerType())])
+CENTRES = "cell int, centre array<double>"
+# Rows of one cell per file; a cell that holds a third of all rows is written by many tasks.
+CELL_FILE_ROWS = 1 << 20
+
+
+def cells_folder(root: str, version: str | None) -> str:
+    """Folder of the cell index of one version."""
+    return f"{root.rstrip('/')}/{CELLS}/{version_folder(root, version).rsplit('/', 1)[1]}"
+
+
+def write_cells(housed: DataFrame, centres: np.ndarray, root: str, version: str | None = None) -> None:
+    """Store a version's cell index: its centres, and its vectors (with `cell`) partitioned by modality and cell, so
+    that a search reads the folders of the cells it probes only."""
+    folder = cells_folder(root, version)
+    spark = housed.sparkSession
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
+    spark.createDataFrame(rows, CENTRES).coalesce(1).write.mode("overwrite").parquet(f"{folder}/centres")
+    columns = [f.name for f in CELL_SCHEMA]
+    sizes = housed.groupBy("modality", "cell").agg(F.ceil(F.count("*") / CELL_FILE_ROWS).cast("int").alias("_files"))
+    spread = housed.join(F.broadcast(sizes), ["modality", "cell"]).withColumn(
+        "_file", F.pmod(F.xxhash64("index_id", "global_id"), F.col("_files"))
+    )
+    spread.repartition("modality", "cell", "_file").select(*columns).write.mode("overwrite").partitionBy(
+        "modality", "cell"
+    ).parquet(f"{folder}/vectors")
+
+
+def read_cells(spark: SparkSession, root: str, version: str | None = None) -> tuple[np.ndarray, DataFrame]:
+    """(centres, vectors with `version` and `cell`) of a stored cell index. Filters on cell prune folders."""
+    folder = cells_folder(root, version)
+    centres = spark.read.schema(CENTRES).parquet(f"{folder}/centres").orderBy("cell").toArrow()  # one row per cell
+    vectors = spark.read.schema(CELL_SCHEMA).option("basePath", f"{folder}/vectors").parquet(f"{folder}/vectors")
+    named = vectors.withColumn("version", F.lit(version or DEFAULT_VERSION))
+    return np.array(centres["centre"].to_pylist(), dtype=float), named
+
+
 def duplicate_ids(vectors: DataFrame) -> DataFrame:
     """Integrity check: ids must be unique inside a version and modality. Empty when all is well."""
     return vectors.groupBy("version", "modality", "index_id").count().where("count > 1")
