@@ -63,10 +63,58 @@ def test_build_stores_an_index_beside_the_version(spark, tmp_path):
     root = str(tmp_path / "index")
     counts = build.build_version(spark, str(data), root, ByteEncoder(), TEXT, "v", cells=2, run_qc=False)
     index, stored = ann.load_index(spark, root, "v")
-    assert counts["image"] == stored.count() == 8 and len(index.centres) == 2
+    assert counts["image"] == stored.count() == 8 and len(index.centres) == 2 and index.radii is not None
     vectors = table.read_vectors(spark, root)
     queries = vectors.where("modality = 'image'").select(F.col("index_id").alias("sample_id"), "embedding")
     approximate = search.search_images(queries, stored, k=3, index=index, nprobe=2)
     exact = search.search_images(queries, vectors, k=3)
     key = lambda rows: sorted((r.sample_id, r.rank, r.index_id, round(r.score, 6)) for r in rows)
     assert key(approximate.collect()) == key(exact.collect())
+
+
+def _exact_key(rows):
+    return sorted((r.sample_id, r.rank, r.index_id, round(r.score, 6)) for r in rows)
+
+
+def test_bounded_search_is_exact_and_skips_far_cells(spark):
+    corpus, centres = _corpus(spark)
+    housed = ann.house(corpus.select(F.lit(1).alias("version_pos"), "index_id", "embedding"), ann.CellIndex(centres))
+    index = ann.CellIndex(centres, ann.cell_radii(housed, ann.CellIndex(centres)))
+    assert np.all(index.radii > 0) and np.all(index.radii < 0.5)
+    queries = corpus.where("index_id % 9 = 0").select(F.col("index_id").alias("sample_id"), "embedding")
+    exact = topk.topk(queries, corpus.select(F.lit(1).alias("version_pos"), "index_id", "embedding"), 6)
+    for nprobe in (1, 2, 4):
+        assert _exact_key(ann.exact_topk(queries, housed, 6, index, nprobe).collect()) == _exact_key(exact.collect())
+    # Tight clusters: after the nearest cell, no other cell's bound reaches the sixth score.
+    asked, _ = ann._usable(queries, housed, index)
+    asked = asked.withColumn("kth", F.lit(0.9).cast("double"))
+    assert ann._further_cells(asked, index, 1).count() == 0
+
+
+def test_bounded_search_keeps_ties_at_the_bound(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-1, 2, 6)]) for i in range(300)]
+    rows += [(1000 + i, v) for i, v in rows[:40]]  # repeated vectors: equal scores, told apart by index_id
+    corpus = spark.createDataFrame(rows, "index_id long, embedding array<float>").select(F.lit(1).alias("version_pos"), "*")
+    fitted = ann.CellIndex(np.eye(6) - np.eye(6, k=1))
+    housed = ann.house(corpus, fitted)
+    index = ann.CellIndex(fitted.centres, ann.cell_radii(housed, fitted))
+    queries = corpus.where("index_id % 13 = 0").select(F.col("index_id").alias("sample_id"), "embedding")
+    exact = topk.topk(queries, corpus, 8)
+    for nprobe in (1, 3, 6):
+        assert _exact_key(ann.exact_topk(queries, housed, 8, index, nprobe).collect()) == _exact_key(exact.collect())
+
+
+def test_bounded_search_with_fewer_rows_than_k_and_without_radii(spark):
+    corpus = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [0.0, 1.0])], "version_pos int, index_id long, embedding array<float>")
+    fitted = ann.CellIndex(np.eye(2))
+    housed = ann.house(corpus, fitted)
+    index = ann.CellIndex(fitted.centres, ann.cell_radii(housed, fitted))
+    queries = spark.createDataFrame([("q", [1.0, 1.0])], "sample_id string, embedding array<float>")
+    assert len(ann.exact_topk(queries, housed, 5, index, 1).collect()) == 2
+    try:
+        ann.exact_topk(queries, housed, 5, fitted, 1)
+    except ValueError:
+        pass
+    else:
+        raise AssertionError("radii are required")

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from traincover.functions.vectors import is_finite
 from traincover.operators import topk
+from traincover.session import stage
 
 # Centres are broadcast, so their number is bounded.
 MAX_CELLS = 16_384
@@ -25,9 +26,10 @@ MAX_CELLS = 16_384
 
 @dataclass(frozen=True)
 class CellIndex:
-    """Unit-length cell centres, one per row."""
+    """Cell centres, one per row, and optionally each cell's covering radius (for exact search)."""
 
     centres: np.ndarray
+    radii: np.ndarray | None = None
 
 
 def fit_cells(vectors: DataFrame, cells: int, seed: int = 0) -> CellIndex:
@@ -80,12 +82,21 @@ def approximate_topk(
     A corpus without the column `cell` is housed first. A cell with many rows is cut into fragments and a cell that many queries probe into chunks, so a cell holding a
     third of the corpus runs as many tasks as its size calls for.
     """
+    queries, housed = _usable(queries, corpus, index)
+    probes = nearest_cells(queries, index, nprobe).select("sample_id", "embedding", F.explode("cells").alias("cell"))
+    return topk.final_ranking(_probed_partials(queries, probes, housed, k), k)
+
+
+def _usable(queries: DataFrame, corpus: DataFrame, index: CellIndex) -> tuple[DataFrame, DataFrame]:
     vector = F.col("embedding").cast("array<float>").alias("embedding")
     queries = queries.select("sample_id", vector).where(is_finite(F.col("embedding")))
     if "cell" not in corpus.columns:
         corpus = house(corpus.select("version_pos", "index_id", vector), index)
-    housed = corpus.select("version_pos", "index_id", vector, "cell").where(is_finite(F.col("embedding")))
-    probes = nearest_cells(queries, index, nprobe).select("sample_id", "embedding", F.explode("cells").alias("cell"))
+    return queries, corpus.select("version_pos", "index_id", vector, "cell").where(is_finite(F.col("embedding")))
+
+
+def _probed_partials(queries: DataFrame, probes: DataFrame, housed: DataFrame, k: int) -> DataFrame:
+    """Partial results of every (sample_id, embedding, cell) probe against the housed rows of its cell."""
     # One row per probed cell (at most MAX_CELLS): how many chunks it needs. Only probed cells of the corpus are read;
     # where the corpus is stored by cell (`sources.vectors.write_cells`) the others' folders are pruned.
     probed = probes.groupBy("cell").agg(F.ceil(F.count("*") / topk.CHUNK_QUERIES).cast("int").alias("chunks")).collect()
@@ -107,16 +118,87 @@ def approximate_topk(
         .withColumn("fragment", F.pmod(F.xxhash64("version_pos", "index_id"), F.col("fragments")).cast("int"))
         .withColumn("chunk", copies("chunks"))
     )
-    schema = topk._partial_schema(queries)
-    return topk.final_ranking(topk.block_partials(left, right, k, schema), k)
+    return topk.block_partials(left, right, k, topk._partial_schema(queries))
+
+
+def cell_radii(housed: DataFrame, index: CellIndex) -> np.ndarray:
+    """Covering radius of each cell: the greatest distance of its vectors (`embedding`, `cell`) to its centre; 0 for an
+    empty cell. One row per cell reaches the driver."""
+    spark = housed.sparkSession
+    centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(index.centres)], "cell int, centre array<double>")
+    v = F.col("embedding").cast("array<double>")
+    squares = F.zip_with(v, F.col("centre"), lambda a, b: (a - b) * (a - b))
+    distance = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x))
+    found = housed.where(is_finite(F.col("embedding"))).join(F.broadcast(centres), "cell").groupBy("cell").agg(
+        F.max(distance).alias("radius")
+    ).collect()
+    radii = np.zeros(len(index.centres))
+    for row in found:
+        radii[row.cell] = row.radius
+    return radii
+
+
+# Bounds are widened by this share of their terms (and a little more): float scores never fall outside them.
+_BOUND_SLACK = 1e-5
+
+
+def _further_cells(queries: DataFrame, index: CellIndex, nprobe: int) -> DataFrame:
+    """(sample_id, embedding, cell) for every cell beyond a query's `nprobe` nearest whose bound q.c + |q| r reaches the
+    query's `kth` score (all of them where `kth` is null: fewer than k were found)."""
+    shared = queries.sparkSession.sparkContext.broadcast((index.centres.T.copy(), np.asarray(index.radii, float)))
+    schema = T.StructType([queries.schema["sample_id"], queries.schema["embedding"], T.StructField("cell", T.IntegerType())])
+
+    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, radii = shared.value
+        norms = np.linalg.norm(centres, axis=0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            matrix = topk.to_matrix(batch.column("embedding")).astype(np.float64)
+            kth = batch.column("kth").to_numpy(zero_copy_only=False)
+            take, cells = [], []
+            for i, q in enumerate(matrix):
+                near = q @ centres
+                order = np.argsort(-near, kind="stable")[nprobe:]
+                length = np.linalg.norm(q)
+                bound = near[order] + length * radii[order] + _BOUND_SLACK * (np.abs(near[order]) + length * (norms[order] + radii[order]) + 1)
+                kept = order if np.isnan(kth[i]) else order[bound >= kth[i]]
+                take += [i] * len(kept)
+                cells += kept.tolist()
+            index_of = pa.array(take, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("sample_id").take(index_of), batch.column("embedding").take(index_of), pa.array(cells, pa.int32())],
+                names=["sample_id", "embedding", "cell"],
+            )
+
+    return queries.mapInArrow(further, schema)
+
+
+def exact_topk(queries: DataFrame, corpus: DataFrame, k: int, index: CellIndex, nprobe: int = 8) -> DataFrame:
+    """As `topk.topk`, exactly, reading only cells that can hold a winner.
+
+    First the `nprobe` nearest cells of each query; the k-th score found there is a lower bound of the true one. Then
+    every other cell whose upper bound q.c + |q| r (r: its covering radius, `index.radii`) reaches it, ties included.
+    Exact at any `nprobe`; the better the cells, the fewer are read the second time.
+    """
+    if index.radii is None:
+        raise ValueError("exact search through cells needs their radii (cell_radii)")
+    queries, housed = _usable(queries, corpus, index)
+    housed = stage(housed, "cells-housed")
+    first = stage(approximate_topk(queries, housed, k, index, nprobe), "cells-first")
+    found = first.groupBy("sample_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    kth = F.when(F.col("n") >= k, F.col("least")).cast("double").alias("kth")
+    asked = queries.join(found.select("sample_id", kth), "sample_id", "left")
+    second = _probed_partials(queries, _further_cells(asked, index, nprobe), housed, k)
+    return topk.final_ranking(first.drop("rank").unionByName(second), k)
 
 
 def load_index(spark, root: str, version: str | None = None) -> tuple[CellIndex, DataFrame]:
     """A stored cell index: its centres and its vectors by cell, ready for `approximate_topk` or `search(index=...)`."""
     from traincover.sources.vectors import read_cells
 
-    centres, vectors = read_cells(spark, root, version)
-    return CellIndex(centres), vectors
+    centres, radii, vectors = read_cells(spark, root, version)
+    return CellIndex(centres, radii), vectors
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -93,5 +93,8 @@ def build_version(
     if cells:
         images = stored.where(F.col("modality") == vec.IMAGE)
         index = approximate.fit_cells(images, cells)
-        vec.write_cells(approximate.house(images, index), index.centres, index_root, version)
+        housed = stage(approximate.house(images, index), "housed")
+        radii = approximate.cell_radii(housed, index)
+        vec.write_cells(housed, index.centres, index_root, version, radii)
+        release(housed)
     return {row.modality: row["count"] for row in stored.groupBy("modality").count().collect()}

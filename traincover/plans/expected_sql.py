@@ -374,3 +374,5 @@ EXPECTED["ann_stored"] = EXPECTED["ann_search"]
 
 # The inner score is needed for the ranking only.
 EXPECTED["search_topk"] = f"SELECT sample_id, rank, index_id, score FROM ({EXPECTED['search_topk']})"
+# Exact search through cells and bounds gives the exact ranking.
+EXPECTED["bounded_topk"] = EXPECTED["search_topk"]

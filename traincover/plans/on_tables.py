@@ -184,6 +184,18 @@ def ann_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("sample_id", "rank", "index_id", _rounded("score"))
 
 
+def bounded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`search_topk` exactly, through 16 fitted cells: two probed, then only cells whose bound reaches the k-th score."""
+    rows = _read(spark, sf_dir, "embeddings")
+    queries = rows.select(F.col("vec_id").alias("sample_id"), "embedding")
+    corpus = rows.select(F.lit(1).alias("version_pos"), F.col("vec_id").alias("index_id"), "embedding")
+    fitted = ann.fit_cells(corpus, cells=16)
+    housed = stage(ann.house(corpus, fitted), "cells")
+    index = ann.CellIndex(fitted.centres, ann.cell_radii(housed, fitted))
+    found = ann.exact_topk(queries, housed, TOP_K, index, nprobe=2)
+    return found.select("sample_id", "rank", "index_id", _rounded("score"))
+
+
 def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the exact matches that the approximate search finds, by the number of cells probed."""
     queries, corpus = _image_queries(spark, sf_dir), image_vectors(spark, sf_dir)
@@ -543,6 +555,7 @@ QUERIES = {
     "ann_search": ann_search,
     "ann_recall": ann_recall,
     "ann_stored": ann_stored,
+    "bounded_topk": bounded_topk,
     "coverage_samples": coverage_samples,
     "coverage_agree": coverage_agree,
     "coverage_summary": coverage_summary,

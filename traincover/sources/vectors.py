@@ -87,7 +87,7 @@ def active_versions(vectors: DataFrame, selected: list[str] | None = None) -> li
 CELLS = "_cells"
 CELL_SCHEMA = T.StructType([*(f for f in SCHEMA.fields if f.name not in ("version", "modality")),
                             T.StructField("modality", T.StringType()), T.StructField("cell", T.IntegerType())])
-CENTRES = "cell int, centre array<double>"
+CENTRES = "cell int, centre array<double>, radius double"
 # Rows of one cell per file; a cell that holds a third of all rows is written by many tasks.
 CELL_FILE_ROWS = 1 << 20
 
@@ -97,12 +97,13 @@ def cells_folder(root: str, version: str | None) -> str:
     return f"{root.rstrip('/')}/{CELLS}/{version_folder(root, version).rsplit('/', 1)[1]}"
 
 
-def write_cells(housed: DataFrame, centres: np.ndarray, root: str, version: str | None = None) -> None:
-    """Store a version's cell index: its centres, and its vectors (with `cell`) partitioned by modality and cell, so
-    that a search reads the folders of the cells it probes only."""
+def write_cells(housed: DataFrame, centres: np.ndarray, root: str, version: str | None = None,
+                radii: np.ndarray | None = None) -> None:
+    """Store a version's cell index: its centres (with covering radii, if given), and its vectors (with `cell`)
+    partitioned by modality and cell, so that a search reads the folders of the cells it probes only."""
     folder = cells_folder(root, version)
     spark = housed.sparkSession
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
+    rows = [(i, [float(x) for x in c], None if radii is None else float(radii[i])) for i, c in enumerate(centres)]
     spark.createDataFrame(rows, CENTRES).coalesce(1).write.mode("overwrite").parquet(f"{folder}/centres")
     columns = [f.name for f in CELL_SCHEMA]
     sizes = housed.groupBy("modality", "cell").agg(F.ceil(F.count("*") / CELL_FILE_ROWS).cast("int").alias("_files"))
@@ -114,13 +115,15 @@ def write_cells(housed: DataFrame, centres: np.ndarray, root: str, version: str
     ).parquet(f"{folder}/vectors")
 
 
-def read_cells(spark: SparkSession, root: str, version: str | None = None) -> tuple[np.ndarray, DataFrame]:
-    """(centres, vectors with `version` and `cell`) of a stored cell index. Filters on cell prune folders."""
+def read_cells(spark: SparkSession, root: str, version: str | None = None) -> tuple[np.ndarray, np.ndarray | None, DataFrame]:
+    """(centres, radii or None, vectors with `version` and `cell`) of a stored cell index. Filters on cell prune folders."""
     folder = cells_folder(root, version)
     centres = spark.read.schema(CENTRES).parquet(f"{folder}/centres").orderBy("cell").toArrow()  # one row per cell
     vectors = spark.read.schema(CELL_SCHEMA).option("basePath", f"{folder}/vectors").parquet(f"{folder}/vectors")
     named = vectors.withColumn("version", F.lit(version or DEFAULT_VERSION))
-    return np.array(centres["centre"].to_pylist(), dtype=float), named
+    radii = centres["radius"].to_pylist()
+    known = None if any(r is None for r in radii) else np.array(radii, dtype=float)
+    return np.array(centres["centre"].to_pylist(), dtype=float), known, named
 
 
 def duplicate_ids(vectors: DataFrame) -> DataFrame:
