@@ -189,3 +189,23 @@ def test_exports(spark, evaluated, tmp_path):
     assert [(r.image_file, bytes(r.content)) for r in images] == [("hit/thing number1_001.jpg", picture(13))]
     line = spark.read.json(str(tmp_path / "bundle" / "matched_annotations")).first()
     assert line.query_sample == "hit" and line.matched_entity == "thing number1" and line.source == "[2024] src1"
+
+
+def test_failed_build_leaves_the_old_version_readable(spark, tmp_path):
+    root = str(tmp_path / "index")
+    build.build_version(spark, str(tree(tmp_path / "old", [f"old{i}" for i in range(6)])), root, ByteEncoder(), TEXT, "v", run_qc=False)
+    before = sorted(tuple(r) for r in table.read_vectors(spark, root).select("modality", "index_id", "text").collect())
+
+    class Failing(ByteEncoder):
+        def encode(self, items):
+            raise RuntimeError("encoder lost")
+
+    with pytest.raises(Exception):
+        build.build_version(spark, str(tree(tmp_path / "new", ["new"] * 6)), root, Failing(), TEXT, "v", run_qc=False)
+    after = sorted(tuple(r) for r in table.read_vectors(spark, root).select("modality", "index_id", "text").collect())
+    assert after == before and before
+    # A later build that succeeds replaces it whole, and leaves no scratch folder behind.
+    build.build_version(spark, str(tree(tmp_path / "new2", ["new"] * 6)), root, ByteEncoder(), TEXT, "v", run_qc=False)
+    texts = {r.text for r in table.read_vectors(spark, root).where("modality = 'image'").collect()}
+    assert "new" in texts and texts <= {"new", " "}  # every fourth name of the fixture is blank
+    assert not list((tmp_path / "index" / "_building").iterdir())

@@ -5,6 +5,8 @@ A version may have a cell index beside it: <root>/_cells/version=<v>/centres and
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,9 @@ SCHEMA = T.StructType([
     T.StructField("modality", T.StringType()),
 ])
 
+# Builds are written here first (hidden from the table's listing by the leading underscore), then moved into place.
+BUILDING = "_building"
+
 # Characters that partition folder names would have to escape.
 _UNUSABLE = set("\"#%'*/:=?\\{}[]^\x7f") | {chr(c) for c in range(32)}
 
@@ -38,12 +43,36 @@ def version_folder(root: str, version: str | None) -> str:
     return f"{root.rstrip('/')}/version={version or DEFAULT_VERSION}"
 
 
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
 def write_version(vectors: DataFrame, root: str, version: str | None = None) -> None:
-    """Replace one version as a whole: a rebuild without texts leaves no old text vectors behind."""
+    """Replace one version as a whole: a rebuild without texts leaves no old text vectors behind.
+
+    The new rows are written to a hidden folder of their own first; only when that write has succeeded does it take the
+    version's place, by two renames. A build that fails leaves the old version whole and readable.
+    """
+    spark = vectors.sparkSession
+    target = version_folder(root, version)
+    name = target.rsplit("/", 1)[1]
+    token = uuid.uuid4().hex
+    fresh = f"{root.rstrip('/')}/{BUILDING}/{token}/{name}"
     columns = [field.name for field in SCHEMA if field.name != "version"]
-    vectors.select(*columns).write.mode("overwrite").option(
-        "partitionOverwriteMode", "static"
-    ).partitionBy("modality").parquet(version_folder(root, version))
+    vectors.select(*columns).write.mode("errorifexists").partitionBy("modality").parquet(fresh)
+    fs, live = _fs(spark, target)
+    _, written = _fs(spark, fresh)
+    _, replaced = _fs(spark, f"{root.rstrip('/')}/{BUILDING}/{token}/replaced")
+    if fs.exists(live) and not fs.rename(live, replaced):
+        raise RuntimeError(f"could not move {target} aside")
+    if not fs.rename(written, live):
+        if fs.exists(replaced):
+            fs.rename(replaced, live)
+        raise RuntimeError(f"could not publish {fresh} as {target}")
+    _, scratch = _fs(spark, f"{root.rstrip('/')}/{BUILDING}/{token}")
+    fs.delete(scratch, True)
 
 
 def read_vectors(spark: SparkSession, root: str) -> DataFrame:
