@@ -254,10 +254,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 )
 
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, class long, shingles binary")
-    # Rows that repeat a doc_id may hold other texts: the class tells.
-    named = wanted.select(F.col("doc_id").alias("of"), F.col("class").alias("of_class"))
-    same = (F.col("class") == F.col("of_class")) & F.col("doc_id").eqNullSafe(F.col("of"))
-    return made.join(named, same).dropDuplicates(["doc_id", "class"]).select("class", "shingles")
+    # Rows that repeat a doc_id may hold other texts: the class tells. Rows of one class hold one set, so any of them
+    # serves (null doc_ids too); keeping one per class reuses the join's partitioning by class, sets move once.
+    return made.join(wanted.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"]).select("class", "shingles")
 
 
 def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
