@@ -13,6 +13,7 @@ EMPTY_LABEL = "(空)"
 MESSAGE_NAME_BLANK = "实体名称为空（将无法作为文本检索目标）"
 MESSAGE_ANNOTATION_BLANK = "打标结果（assistant 回答）为空"
 MESSAGE_MODEL_BLANK = "打标模型名称为空"
+MESSAGE_NO_IMAGE_PATH = "图像相对路径为空"
 
 _CLASS = "".join(f"\\x{{{c:x}}}" for c in _WHITESPACE)
 _SPACES = " || ".join(f"chr({c})" for c in _WHITESPACE)
@@ -135,8 +136,9 @@ _ANNOTATED = r"""
         SELECT d.doc_id AS global_id,
                CASE WHEN toxic = 1 THEN '' WHEN quality = 0 THEN source ELSE regexp_extract(text, '^\S+') END
                    AS entity_name,
-               text AS annotation,
-               source || '/' || d.doc_id || '.jpg' AS image_relative_path, source AS source_name,
+               CASE WHEN toxic = 1 THEN '' ELSE text END AS annotation,
+               CASE WHEN l.doc_id IS NULL THEN '' ELSE source || '/' || d.doc_id || '.jpg' END AS image_relative_path,
+               source AS source_name,
                CASE WHEN quality IS NOT NULL THEN lang ELSE '' END AS model_name, lang AS source_dataset
         FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
     )"""
@@ -155,6 +157,8 @@ _ISSUES = _ANNOTATED + f""",
         FROM lengths WHERE n > 20000
         UNION ALL SELECT global_id, 'INFO', 'annotation', '打标结果中未出现实体名称「' || entity_name || '」', 5
         FROM lengths WHERE n > 0 AND name <> '' AND NOT contains(annotation, name)
+        UNION ALL SELECT global_id, 'ERROR', 'image_relative_path', '{MESSAGE_NO_IMAGE_PATH}', 6
+        FROM lengths WHERE coalesce(image_relative_path, '') = ''
         UNION ALL SELECT global_id, 'WARNING', 'model_name', '{MESSAGE_MODEL_BLANK}', 7
         FROM lengths WHERE {_strip('model_name')} = ''
     ),

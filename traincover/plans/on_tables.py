@@ -297,14 +297,15 @@ def agree_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents as annotations; labels decide the name."""
-    labels = _read(spark, sf_dir, "labels")
+    """Whole documents as annotations; labels decide the name. A toxic document's text is withheld (a blank
+    annotation), and a document without a labels row has no image (an empty path): both are errors of the check."""
+    labels = _read(spark, sf_dir, "labels").withColumn("labelled", F.lit(True))
     return _read(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("global_id"),
         F.when(F.col("toxic") == 1, "").when(F.col("quality") == 0, F.col("source"))
         .otherwise(F.regexp_extract("text", r"^\S+", 0)).alias("entity_name"),
-        F.col("text").alias("annotation"),
-        F.format_string("%s/%d.jpg", "source", "doc_id").alias("image_relative_path"),
+        F.when(F.col("toxic") == 1, "").otherwise(F.col("text")).alias("annotation"),
+        F.when(F.col("labelled"), F.format_string("%s/%d.jpg", "source", "doc_id")).otherwise("").alias("image_relative_path"),
         F.format_string("doc-%d", "doc_id").alias("data_uuid"),
         F.col("source").alias("source_name"),
         F.when(F.col("quality").isNotNull(), F.col("lang")).otherwise("").alias("model_name"),
