@@ -170,10 +170,11 @@ def _bitmap(table: DataFrame, column: str, bits: int) -> bytes:
     """A bit for each value of a column of longs, null counting as 0. The size is fixed: the more values, the less it tells apart."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(bits, bool)
+        found = np.zeros(bits // 8, "u1")  # packed as np.packbits packs: a task holds bits / 8 bytes
         for batch in batches:
-            found[_mark(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), bits)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(found).tobytes()])], names=["bits"])
+            at = np.unique(_mark(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), bits))
+            np.bitwise_or.at(found, at >> 3, (np.uint8(128) >> (at & 7).astype("u1")).astype("u1"))
+        yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()])], names=["bits"])
 
     total = np.zeros(bits // 8, "u1")
     for row in table.select(column).coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():
@@ -232,11 +233,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     picked = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, "doc_id", _PICK_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(picked.value, "u1"))
+        packed = np.frombuffer(picked.value, "u1")
         seen: set[int] = set()  # classes of rows without a doc_id: a task lists one once as long as it remembers it
         for batch in smaller(batches, 4096):
             ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-            for part in smaller([batch.take(pa.array(np.flatnonzero(bits[_mark(ids, _PICK_BITS)])))], _BATCH):
+            at = _mark(ids, _PICK_BITS)
+            hit = (packed[at >> 3] >> (7 - (at & 7)).astype("u1")) & 1
+            for part in smaller([batch.take(pa.array(np.flatnonzero(hit)))], _BATCH):
                 out = []
                 for key, text in zip(part.column("doc_id").to_pylist(), texts_of(part)):
                     own = shingle_set(text, n)
