@@ -111,14 +111,15 @@ def _languages(spark):
 def test_spans_of_mixed_text(spark):
     model, make = _languages(spark)
     a, b = make("aa", 40), make("bb", 25)
-    texts = [a + " 12 " + b, make("ru", 5), None, "", "12 !! _", "kati " * 20_000, "मम", make("ru", 20) + " " + make("aa", 5)]
+    texts = [a + " 12 " + b, make("ru", 5), None, "", "12 !! _", "kati " * 20_000, "मम", make("ru", 20) + " " + make("aa", 5),
+             "½ ² ① ٣ Ⅻ"]  # numerals of other categories are no letters
     docs = spark.createDataFrame(
         [(i, t, "old", 0.5) for i, t in enumerate(texts)], "doc_id long, text string, lang_pred string, score double"
     )
     got = {r.doc_id: r for r in langid.label_languages(docs, model).collect()}
     assert [(s.lang, s.start, s.end) for s in got[0].lang_spans] == [("aa", 0, len(a)), ("bb", len(a) + 4, len(texts[0]))]
     assert got[1].lang_pred == "ru" and got[5].lang_pred == "aa" and len(got[5].lang_spans) == 1
-    assert [(got[i].lang_pred, got[i].score, got[i].lang_spans) for i in (2, 3, 4)] == [("und", 0.0, [])] * 3
+    assert [(got[i].lang_pred, got[i].score, got[i].lang_spans) for i in (2, 3, 4, 8)] == [("und", 0.0, [])] * 4
     assert got[6].lang_pred in ("aa", "bb", "ru")
     assert [s.lang for s in got[7].lang_spans] == ["ru", "aa"] and 0 < got[7].score < 1
     assert langid.label_languages(docs.limit(0), model).collect() == []

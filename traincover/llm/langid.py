@@ -19,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import regex
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +49,8 @@ SCRIPTS = sorted({name for _, name in SCRIPT_RANGES})
 _BOUNDS = np.array([start for start, _ in SCRIPT_RANGES])
 _SCRIPT_NO = np.array([SCRIPTS.index(name) for _, name in SCRIPT_RANGES])
 
-_WORDS = re.compile(r"[^\W\d_]+")
+# A word: a letter, then letters and marks (numerals such as ½ or ① are no letters; vowel signs stay in their word).
+_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _REMEMBERED = 1_000_000
 
 
