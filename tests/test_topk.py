@@ -166,3 +166,15 @@ def test_fewer_cells_find_a_subset_with_true_scores(spark, data):
     for row in found.collect():
         true = corpus[row.index_id].astype(np.float64) @ queries[int(row.sample_id[1:])].astype(np.float64)
         assert abs(row.score - true) < 1e-8
+
+
+def test_a_block_of_wide_vectors_is_taken_in_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    queries, corpus, sizes = unit(rng, 3, 2048), unit(rng, 2000, 2048), []
+    taken = topk.RunningTopK._absorb
+    monkeypatch.setattr(topk.RunningTopK, "_absorb", lambda self, block, *rest: (sizes.append(block.size), taken(self, block, *rest)))
+    best = topk.RunningTopK(queries, 4)
+    best.absorb(corpus, np.ones(len(corpus), np.int32), np.arange(len(corpus)))
+    assert max(sizes) <= 1 << 20 and sum(sizes) == corpus.size
+    expected = np.argsort(-(queries.astype(np.float64) @ corpus.T.astype(np.float64)), axis=1, kind="stable")[:, :4]
+    assert (best.ids == expected).all()

@@ -9,6 +9,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
@@ -19,6 +20,8 @@ from traincover.sources.tars import BATCH_BYTES, MemberReader
 
 # Items handed to an encoder at a time.
 IMAGE_BATCH, TEXT_BATCH = 32, 128
+# Rows and bytes of text that a task embeds before it hands on their vectors, however large an Arrow batch is.
+SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
 
 
 class Encoder(Protocol):
@@ -31,9 +34,9 @@ class Encoder(Protocol):
 
 
 class _Buckets(dict):
-    """Token to bucket, filled on demand and emptied when it grows too large."""
+    """Token to bucket, filled on demand and emptied when it grows too large. Long tokens, rarely met again, stay out."""
 
-    LIMIT = 1_000_000
+    LIMIT, LONGEST = 1 << 19, 64
 
     def __init__(self, dim: int):
         super().__init__()
@@ -43,10 +46,12 @@ class _Buckets(dict):
         return _Buckets, (self.dim,)
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
         digest = hashlib.md5(token.encode("utf-8"), usedforsecurity=False).digest()
-        bucket = self[token] = int.from_bytes(digest[:2], "big") % self.dim
+        bucket = int.from_bytes(digest[:2], "big") % self.dim
+        if len(token) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[token] = bucket
         return bucket
 
 
@@ -116,21 +121,34 @@ def _encode(encoder: Encoder, items: list, step: int) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros((0, encoder.dim), np.float32)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices bounded by number and by bytes of the texts in column `at`; nothing is copied."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        start = 0
+        while start < batch.num_rows:
+            fitting = int(np.searchsorted(ends, ends[start] + SLICE_BYTES, "right")) - 1
+            end = min(max(fitting, start + 1), start + SLICE_ROWS, batch.num_rows)
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def embed_texts(
     rows: DataFrame, encoder: Encoder, text: str = "text", out: str = "embedding", batch_size: int = TEXT_BATCH,
     profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Add the unit vector of each text; NULL and empty texts get NULL. Filter blank texts before this call.
 
-    A text repeated within an Arrow batch is encoded once; that needs no shuffle and a text that half the rows share
-    costs next to nothing. `profile` asks for executors with GPUs, for encoders that want them.
+    A task holds the vectors of one slice of its rows, not of a whole Arrow batch. A text repeated within a slice is
+    encoded once; that needs no shuffle and a text that half the rows share costs next to nothing. `profile` asks for executors with GPUs, for encoders that want them.
     """
     unpack = _ship(rows, encoder)
     at = rows.columns.index(text)
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = unpack()
-        for batch in batches:
+        for batch in _slices(batches, at):
             texts = batch.column(at).to_pylist()
             slots = {t: i for i, t in enumerate(dict.fromkeys(t for t in texts if t))}
             filled = np.array([i for i, t in enumerate(texts) if t], dtype=np.int64)

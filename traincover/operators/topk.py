@@ -28,8 +28,9 @@ BROADCAST_QUERIES = 20_000
 BROADCAST_BYTES = 128 << 20
 # Result rows whose metadata is fetched by a broadcast of the ids.
 BROADCAST_MATCHES = 500_000
-# Cells of one similarity matrix (float32: 16 MB).
+# Cells of one similarity matrix (float32: 16 MB), and components of the corpus rows it takes (float32: 4 MB).
 PAIR_CELLS = 4 << 20
+BLOCK_CELLS = 1 << 20
 # Sizes of the blocks that meet when the queries are too many to broadcast.
 CHUNK_QUERIES = 32_768
 FRAGMENT_ROWS = 500_000
@@ -62,7 +63,8 @@ class RunningTopK:
         """Take in a block of corpus rows."""
         if not len(self.queries):
             return
-        step = max(self.k, PAIR_CELLS // len(self.queries), 1)
+        rows = min(PAIR_CELLS // len(self.queries), BLOCK_CELLS // max(1, vectors.shape[1]))
+        step = max(self.k, rows, 1)
         for start in range(0, len(vectors), step):
             part = slice(start, start + step)
             self._absorb(vectors[part], places[part], ids[part])
