@@ -148,6 +148,45 @@ def test_bounds_spare_computations():
         assert tree.computed < 0.6 * len(points)
 
 
+def _tree_of(points, ids):
+    lifted = mtree._lifted(points)
+    builder = mtree.Builder(lifted, 1)
+    root = builder.build(np.arange(len(points)), lifted[0])
+    return mtree.Tree(mtree.pa.Table.from_pylist([{
+        "node": 0 if n == root else n + 1, "leaf": leaf, "n": len(r), "objects": lifted[r].tobytes(), "radii": radii.tobytes(),
+        "to_parent": d.tobytes(), "children": (c + 1).astype("i4").tobytes(), "ids": [ids[i] for i in r] if leaf else [],
+    } for n, (leaf, r, radii, d, c) in enumerate(builder.nodes)]))
+
+
+def test_a_group_of_queries_opens_a_page_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    points = np.unique(np.floor(64 * rng.normal(size=(3000, 16))), axis=0)
+    tree, opened = _tree_of(points, [[i] for i in range(len(points))]), []
+    pop = mtree.heapq.heappop
+    monkeypatch.setattr(mtree.heapq, "heappop", lambda heap: (opened.append(1), pop(heap))[1])
+    query, places, scores = tree.search_all(points[:200], list(range(200)), 20)
+    products = (points[:200] @ points.T).astype(int)
+    for q in range(200):
+        want = sorted((-s, i) for i, s in enumerate(products[q].tolist()) if i != q)[:20]
+        found = zip((-scores[query == q]).tolist(), tree.ids.take(mtree.pa.array(places[query == q])).to_pylist())
+        assert list(found) == want
+    assert len(opened) < 10 * len(tree.pages)  # one query after another: nearly 200 times
+
+
+def test_groups_meet_ties_repeated_and_null_ids():
+    rng = np.random.default_rng(8)
+    points = np.unique(rng.integers(-1, 2, size=(900, 4)).astype(float), axis=0)  # 81 vectors, many equal scores
+    ids = [sorted(rng.integers(0, 60, 30).tolist())[:21] + ([None] if i % 5 == 0 else []) for i in range(len(points))]
+    ids = [some + [3, 3] for some in ids]  # an id that every vector has more than once
+    queries, own = points[rng.integers(0, len(points), 300)], [3, None, *rng.integers(0, 70, 298).tolist()]
+    tree = _tree_of(points, ids)
+    query, places, scores = tree.search_all(queries, own, 7)
+    for q in range(300):
+        rows = [(-int(s), i is None, i or 0) for s, some in zip(points @ queries[q], ids) for i in some if i != own[q]]
+        found = zip((-scores[query == q]).tolist(), tree.ids.take(mtree.pa.array(places[query == q])).to_pylist())
+        assert [(s, i is None, i or 0) for s, i in found] == sorted(rows)[:7]
+
+
 @pytest.fixture(scope="module")
 def model():
     return sentpiece.read_model()

@@ -4,7 +4,7 @@ Inner products become distances: with one more component sqrt(R^2 - |x|^2), R be
 vectors lie on one sphere, and |q - x|^2 = |q|^2 + R^2 - 2 q.x. The vectors are dealt over trees. A node is a page of entries:
 a routing object, its covering radius, its distance to the parent's routing object, and the child page (inner nodes), or
 a vector with its distance to the parent (leaves). Nodes are rows of a table. The search opens pages in the order of the
-least distance they can hold, and leaves out every entry whose distance |d(q, parent) - d(parent, entry)| alone
+least distance they can hold, a group of queries at a time, and leaves out every entry whose distance |d(q, parent) - d(parent, entry)| alone
 already rules it out, so that its own distance is never computed. Integer components make the final scores exact; bounds
 carry a margin for rounding, and pages that could tie with the k-th place are opened.
 
@@ -25,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,9 @@ FAN = 64
 TREE_VECTORS = 65_536
 LEAST_TREES = 8
 BLOCK_QUERIES = 16_384
+# Queries that search a tree together, and queries whose results leave a task at a time.
+GROUP_QUERIES = 256
+FOUND_QUERIES = 4_096
 _MARGIN = 1e-6
 
 NODES = "tree int, node int, leaf boolean, n int, objects binary, radii binary, to_parent binary, children binary, ids array<array<long>>"
@@ -168,13 +172,19 @@ class Tree:
     """The pages of one tree, ready to be searched."""
 
     def __init__(self, table: pa.Table):
+        rows = table.to_pylist()
+        # An id's place in the order of ids, nulls last, stands for it; the last place holds the null id.
+        known = sorted({i for row in rows for some in row["ids"] for i in some if i is not None})
+        self.ids, self.place = pa.array([*known, None], pa.int64()), {i: at for at, i in enumerate([*known, None])}
         self.pages = {}
-        for row in table.to_pylist():
+        for row in rows:
             n = row["n"]
             objects = np.frombuffer(row["objects"]).reshape(n, -1)
+            entry = np.repeat(np.arange(len(row["ids"])), [len(some) for some in row["ids"]])
+            places = np.array([self.place[i] for some in row["ids"] for i in some], np.int64)
             self.pages[row["node"]] = (
                 row["leaf"], objects, np.frombuffer(row["radii"]), np.frombuffer(row["to_parent"]),
-                np.frombuffer(row["children"], "i4"), row["ids"],
+                np.frombuffer(row["children"], "i4"), entry, places,
             )
         objects = self.pages[0][1]
         self.width = objects.shape[1] - 1
@@ -183,78 +193,146 @@ class Tree:
 
     def search(self, query: np.ndarray, own, k: int) -> list[tuple[int, int]]:
         """The best k (score, id), by score, then the smaller id."""
-        best: list[tuple] = []  # a heap with the worst on top: (score, -id)
-        lifted = np.append(query, 0.0)
-        q_square = float(query @ query)
-        base = q_square + self.square
-        reach = np.inf  # distance of the k-th place
+        _, places, scores = self.search_all(query[None, :], [own], k)
+        return list(zip(scores.tolist(), self.ids.take(pa.array(places)).to_pylist()))
+
+    def search_all(self, queries: np.ndarray, own: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of the query, place of the id, score) of the best k of each row of `queries`, best first."""
+        lifted = np.hstack([queries, np.zeros((len(queries), 1))])
+        own_places = np.array([self.place.get(i, -1) for i in own], np.int64)
+        # Queries whose nearest entry of the root is the same want much the same pages.
+        order = np.argsort((lifted @ self.pages[0][1].T).argmax(axis=1), kind="stable")
+        found = []
+        for start in range(0, len(order), GROUP_QUERIES):
+            group = order[start: start + GROUP_QUERIES]
+            best = _Best(len(group), k)
+            self._search_group(lifted[group], own_places[group], best)
+            rows, slots = np.nonzero(best.places >= 0)
+            found.append((group[rows], best.places[rows, slots], best.scores[rows, slots].astype(np.int64)))
+        return tuple(np.concatenate(parts) for parts in zip(*found))
+
+    def _search_group(self, lifted: np.ndarray, own: np.ndarray, best: _Best) -> None:
+        """Best-first search of a group: a page is opened once for all queries that may need it then.
+
+        Pages wait in the order of the least distance that any of their queries can find there. A query without k rows
+        yet opens a page only when no nearer one of its own is waiting, so that a neighbour in the group can't send it
+        to far pages first.
+        """
+        base = (lifted**2).sum(axis=1) + self.square
+        reach = np.full(len(lifted), np.inf)  # distances of the k-th places
         # The root's entries lean on the distance to the first object of the tree, which the root doesn't store.
-        heap = [(0.0, 0, np.nan)]
+        everyone = np.arange(len(lifted))
+        heap = [(0.0, 0, everyone, np.zeros(len(lifted)), None)]
         while heap:
-            least, node, to_centre = heapq.heappop(heap)
-            if least > reach + _MARGIN:
+            least, node, who, bounds, to_centre = heapq.heappop(heap)
+            if least > reach.max() + _MARGIN:
                 break
-            leaf, objects, radii, to_parent, children, ids = self.pages[node]
-            if to_centre == to_centre and reach < np.inf:
-                near = np.flatnonzero(np.abs(to_centre - to_parent) - radii <= reach + _MARGIN)
+            now = bounds <= np.where(reach[who] < np.inf, reach[who], least) + _MARGIN
+            later = ~now & (reach[who] == np.inf)
+            if later.any():
+                heapq.heappush(heap, (
+                    float(bounds[later].min()), node, who[later], bounds[later], None if to_centre is None else to_centre[later],
+                ))
+            if not now.any():
+                continue
+            who = who[now]
+            leaf, objects, radii, to_parent, children, entry, places = self.pages[node]
+            near = np.arange(len(objects))
+            if to_centre is not None:
+                gaps = np.abs(to_centre[now][:, None] - to_parent) - radii
+                near = np.flatnonzero((gaps <= reach[who][:, None] + _MARGIN).any(axis=0))
                 if not len(near):
                     continue
-                part = objects[near] if len(near) < len(objects) else objects
-            else:
-                near, part = None, objects
-            self.computed += len(part)
-            products = part @ lifted
+            part = objects[near] if len(near) < len(objects) else objects
+            self.computed += len(part) * len(who)
+            products = lifted[who] @ part.T
             if leaf:
-                scores = np.rint(products).astype(np.int64)
-                floor = best[0][0] if len(best) >= k else None
-                hits = np.flatnonzero(scores >= floor) if floor is not None else np.arange(len(scores))
-                for at in hits[np.argsort(-scores[hits], kind="stable")]:
-                    score = int(scores[at])
-                    if len(best) >= k and score < best[0][0]:
-                        break
-                    for i in ids[at if near is None else near[at]]:
-                        if i == own:
-                            continue
-                        item = (score, -i if i is not None else -np.inf)
-                        if len(best) < k:
-                            heapq.heappush(best, item)
-                        elif item > best[0]:
-                            heapq.heapreplace(best, item)
-                if len(best) >= k:
-                    reach = float(np.sqrt(max(base - 2.0 * best[0][0], 0.0)))
+                scores = np.rint(products)
+                if len(near) < len(objects) or len(entry) > len(objects):
+                    spot = np.full(len(objects), -1)
+                    spot[near] = np.arange(len(near))
+                    listed = spot[entry] >= 0
+                    scores, places = scores[:, spot[entry[listed]]], places[listed]
+                best.take(who, scores, places, own[who])
+                full = who[best.places[who, -1] >= 0]
+                reach[full] = np.sqrt(np.maximum(base[full] - 2.0 * best.scores[full, -1], 0.0))
             else:
-                distances = np.sqrt(np.maximum(base - 2.0 * products, 0.0))
-                which = range(len(part)) if near is None else near
-                for d, at in zip(distances.tolist(), which):
-                    bound = max(d - radii[at], 0.0)
-                    if bound <= reach + _MARGIN:
-                        heapq.heappush(heap, (bound, int(children[at]), d))
-        return [(score, None if i == -np.inf else -i) for score, i in sorted(best, key=lambda x: (-x[0], -x[1]))]
-
-
-def search(queries: list[tuple[int, np.ndarray]], index: DataFrame, k: int = K) -> DataFrame:
-    """query_id, vec_id, score: the best k of each tree for each query of one block. `index`: a written node table."""
+                distances = np.sqrt(np.maximum(base[who][:, None] - 2.0 * products, 0.0))
+                held = np.maximum(distances - radii[near], 0.0)
+                wanted = held <= reach[who][:, None] + _MARGIN
+                for column, at in enumerate(near):
+                    some = np.flatnonzero(wanted[:, column])
+                    if len(some):
+                        least_held = held[some, column]
+                        heapq.heappush(heap, (
+                            float(least_held.min()), int(children[at]), who[some], least_held, distances[some, column],
+                        ))
+
+
+class _Best:
+    """The best k (score, place of the id) of each query of a group so far: greater scores first, then smaller places."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.scores, self.places = np.full((queries, k), -np.inf), np.full((queries, k), -1, np.int64)
+
+    def take(self, who: np.ndarray, scores: np.ndarray, places: np.ndarray, own: np.ndarray) -> None:
+        """`scores` of the queries `who` with rows at `places`; a query never meets its own place."""
+        floor = self.scores[who, -1]
+        if scores.shape[1] > self.k and np.isneginf(floor).any():
+            others = np.where(places == own[:, None], -np.inf, scores)
+            floor = np.maximum(floor, np.partition(others, -self.k, axis=1)[:, -self.k])
+        row, at = np.nonzero(scores >= floor[:, None])
+        score, place, query = scores[row, at], places[at], who[row]
+        last = self.places[query, -1]
+        better = (place != own[row]) & ((last < 0) | (score > self.scores[query, -1]) | (place < last))
+        score, place, query = score[better], place[better], query[better]
+        if not len(query):
+            return
+        touched = np.unique(query)
+        old, slot = np.nonzero(self.places[touched] >= 0)
+        query = np.concatenate([touched[old], query])
+        score = np.concatenate([self.scores[touched[old], slot], score])
+        place = np.concatenate([self.places[touched[old], slot], place])
+        order = np.lexsort((place, -score, query))
+        query = query[order]
+        first = np.searchsorted(query, touched)
+        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        kept = rank < self.k
+        self.scores[query[kept], rank[kept]] = score[order][kept]
+        self.places[query[kept], rank[kept]] = place[order][kept]
+
+
+def search(queries: dict[int, tuple[list, np.ndarray]], index: DataFrame, k: int = K) -> DataFrame:
+    """query_id, vec_id, score: the best k of each tree for each query of one block. `queries`: by width, their ids and
+    vectors. `index`: a written node table."""
     shared = index.sparkSession.sparkContext.broadcast(queries)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in _groups(batches, "tree"):
-            tree, rows = Tree(table), []
-            for query_id, vector in shared.value:
-                if len(vector) == tree.width:
-                    rows += [(query_id, i, score) for score, i in tree.search(vector, query_id, k)]
-                if len(rows) > 100_000:
-                    yield _found(rows)
-                    rows = []
-            yield _found(rows)
+            tree = Tree(table)
+            own, vectors = shared.value.get(tree.width, ([], None))
+            for a in range(0, len(own), FOUND_QUERIES):
+                asked = own[a: a + FOUND_QUERIES]
+                query, places, scores = tree.search_all(vectors[a: a + FOUND_QUERIES], asked, k)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(asked, pa.int64()).take(pa.array(query)), tree.ids.take(pa.array(places)), pa.array(scores)],
+                    names=["query_id", "vec_id", "score"],
+                )
 
     # Pages of a tree meet again; they are few next to the work on them.
     trees = max(1, index.select("tree").distinct().count())
     return index.repartition(trees, "tree").sortWithinPartitions("tree").mapInArrow(scan, FOUND)
 
 
-def _found(rows) -> pa.RecordBatch:
-    q, i, s = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
+def _by_width(asked: pa.Table) -> dict[int, tuple[list, np.ndarray]]:
+    """The ids and vectors (vec_id, v) of the rows of each width."""
+    widths = pc.list_value_length(asked["v"])
+    held = {}
+    for width in pc.unique(widths).to_pylist():
+        rows = asked.filter(pc.equal(widths, width))
+        held[width] = rows["vec_id"].to_pylist(), rows["v"].combine_chunks().flatten().to_numpy().reshape(len(rows), width)
+    return held
 
 
 def topk(vectors: DataFrame, is_query: Column, k: int = K, trees: int | None = None, block: int = BLOCK_QUERIES) -> DataFrame:
@@ -266,8 +344,7 @@ def topk(vectors: DataFrame, is_query: Column, k: int = K, trees: int | None = N
     found = []
     for b in range(blocks):  # each block is bounded; the index is read once for each
         of_block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
-        queries = [(i, np.array(v)) for i, v in zip(of_block["vec_id"].to_pylist(), of_block["v"].to_pylist())]
-        found.append(search(queries, index, k))
+        found.append(search(_by_width(of_block), index, k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
