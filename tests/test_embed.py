@@ -1,10 +1,11 @@
-"""What a task that embeds texts holds: vectors of a slice of its rows, and a bounded memory of tokens."""
+"""What a task that embeds texts holds: bounded batches, vectors of a slice of its rows, a bounded memory of tokens."""
 
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 
+from traincover import configure
 from traincover.operators import embed
 
 
@@ -36,3 +37,31 @@ def test_long_tokens_are_not_remembered():
     encoder = embed.HashedTokenEncoder(64)
     encoder.encode(["short " + "y" * 5000])
     assert set(encoder._buckets) == {"short"}
+
+
+def batch_sizes(rows):
+    """Rows and bytes of the Arrow batches that a task over `rows` gets."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"n": pa.array([batch.num_rows]), "bytes": pa.array([batch.nbytes])})
+
+    return [tuple(row) for row in rows.mapInArrow(sizes, "n long, bytes long").collect()]
+
+
+def test_batches_of_texts_and_of_vectors_are_bounded_by_bytes(spark):
+    """Both Python steps of the text ranking: whole texts come in, wide vectors come out and go in again."""
+    texts = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat(concat('word', id % 900, ' '), 1500) AS text")
+    texts = configure(spark).createDataFrame(texts.toArrow()).coalesce(1)
+    embedded = embed.embed_texts(texts, embed.HashedTokenEncoder(1024)).drop("text")
+    for rows in (texts, embedded):
+        got = batch_sizes(rows)
+        assert sum(n for n, _ in got) == 3000
+        assert max(size for _, size in got) <= 5 << 20
+
+
+def test_a_worker_remembers_a_bounded_number_of_tokens():
+    encoder = embed.HashedTokenEncoder(64)
+    texts = [" ".join(f"t{i}" for i in range(at, at + 1000)) for at in range(0, 200_000, 1000)]
+    counts = encoder.encode(texts)
+    assert len(encoder._buckets) <= 1 << 16
+    assert np.array_equal(counts, embed.HashedTokenEncoder(64).encode(texts[::-1])[::-1]) and counts.sum() == 200_000

@@ -36,7 +36,7 @@ class Encoder(Protocol):
 class _Buckets(dict):
     """Token to bucket, filled on demand and emptied when it grows too large. Long tokens, rarely met again, stay out."""
 
-    LIMIT, LONGEST = 1 << 19, 64
+    LIMIT, LONGEST = 1 << 16, 64
 
     def __init__(self, dim: int):
         super().__init__()
