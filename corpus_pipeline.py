@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from traincover.llm import exact, jaccard, mixing, sentpiece, toxicity
 from traincover.llm.base import read
-from traincover.session import stage
+from traincover.session import bound_batches, stage
 
 
 # Bits of a row's place in its file; those above hold the number of the file.
@@ -46,12 +46,14 @@ def _first_of(keyed: DataFrame, decided: DataFrame, group: str, *before: Column)
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go. It is trained on these documents and the training labels."""
+    bound_batches(spark)
     model = toxicity.train(docs.select("doc_id", "text"), read(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (white space aside) the row with the most code points stays, then the smallest doc_id."""
+    bound_batches(spark)
     keyed = _keyed(docs)
     decided = exact.exact_dedup(keyed.select(F.col("row_key").alias("doc_id"), "text"))
     shortness = (-F.length(F.coalesce("text", F.lit("")))).alias("shortness")
@@ -80,6 +82,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids and whether decoding them gives the text again."""
+    bound_batches(spark)
     coded = sentpiece.round_trip(docs.select("doc_id", "source", "text"), sentpiece.read_model())
     return coded.select(
         "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",

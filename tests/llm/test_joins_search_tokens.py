@@ -222,3 +222,13 @@ def test_round_trip_of_a_table(spark, model):
     assert [(r.ids, r.decoded) for r in both] == [(r.ids, r.decoded) for r in got]
     assert sentpiece.round_trip(docs.limit(0), model).collect() == []
     assert sentpiece.codec(model).decode([1, 0, 2]) == " ⁇ "[1:]
+
+
+def test_sentencepiece_remembers_a_bounded_number_of_segments():
+    codec = sentpiece.Codec(sentpiece.read_model())
+    texts = [" ".join(f"n{i}" for i in range(at, at + 1000)) for at in range(0, 300_000, 1000)]
+    codec.encode(texts[0])
+    coded = [codec.encode(text) for text in texts]
+    assert len(codec.remembered) <= 1 << 17 and len(codec.older) <= 1 << 17
+    assert [codec.decode(ids) for ids in coded[-3:]] == texts[-3:]
+    assert sentpiece.Codec(sentpiece.read_model()).encode(texts[-1]) == coded[-1]

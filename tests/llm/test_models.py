@@ -213,3 +213,13 @@ def test_toxicity_of_held_out_documents(spark):
     rows = [r for r in QUERIES["op10_toxicity"](spark, sf).collect() if r.held_out and r.doc_id in truth]
     assert np.mean([r.predicted == truth[r.doc_id] for r in rows]) > 0.96
     assert np.mean([r.predicted for r in rows if not truth[r.doc_id]]) < 0.01
+
+
+def test_toxicity_remembers_a_bounded_number_of_words():
+    word = lambda i: "w" + "".join(chr(97 + int(d)) for d in str(i))
+    reader = toxicity.TermReader({word(7): 0, "wb*": 1, "wbaa*": 2})
+    for at in range(0, 100_000, 1000):
+        found = reader.read(" ".join(map(word, range(at, at + 1000))))
+        plain = {t for i in range(at, at + 1000) for t in toxicity.word_terms(word(i)) if t in reader.terms}
+        assert set(found) == {reader.terms[t] for t in plain}
+        assert len(reader.known) <= 1 << 16

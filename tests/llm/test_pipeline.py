@@ -48,3 +48,14 @@ def test_one_row_of_each_group_stays(spark):
     assert unique == Counter([(1, text(1)), (2, text(2)), (None, text(3)), (None, text(3, 0)), (5, text(4)), (5, text(4, 39)), (5, text(5)), (8, "")])
     assert sum(apart.values()) == 6 and set(apart) <= set(unique) and {t[-4:] for _, t in apart} >= {"1v39", "2v39", "3v39", "5v39"}
     assert set(mixed) <= set(apart) and max(mixed.values()) <= 2 and any(i is None for i, _ in mixed)
+
+
+def test_stages_bound_the_bytes_of_arrow_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = corpus_pipeline.stage(read(spark, SF, "documents").limit(20), "pipeline-test")
+    for name, apply in corpus_pipeline.STAGES:
+        if name == "mix_sources":  # has no Python step
+            continue
+        spark.conf.set(key, str(64 << 20))
+        apply(spark, docs, SF)
+        assert int(spark.conf.get(key)) <= 4 << 20, name

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traincover.llm.base import mix, sequence_hashes, smaller, texts_of, word_hashes, words
-from traincover.session import release, stage
+from traincover.session import bound_batches, release, stage
 
 SHINGLE = 5
 THRESHOLD = 80  # in hundredths
@@ -376,6 +376,7 @@ def class_components(docs: DataFrame, classes: DataFrame, levels: bytes, n: int
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links): one row for each row of `docs`."""
+    bound_batches(docs.sparkSession)  # 10,000 rows may be whole texts or pairs of sets
     first = stage(_first_pass(docs, n), "shingled")
     own = first.where("block is null").select("doc_id", "class", F.col("n").alias("n_shingles"))
     classes = stage(own.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "classes")

@@ -33,7 +33,8 @@ from traincover.llm.base import smaller
 MARK = "▁"
 UNKNOWN_SURFACE = " ⁇ "
 
-REMEMBERED = 400_000
+REMEMBERED = 1 << 17
+PAIRS_REMEMBERED = 1_600_000
 LONGEST_REMEMBERED = 48
 _BATCH = 512
 
@@ -102,7 +103,7 @@ class Codec:
         """Whether two tokens are the encoding of their text."""
         a, b = self.piece[left], self.piece[right]
         found = a[-1] + b[0] not in self.joined or self._merged(a + b) == [a, b]
-        if len(self.compatible) >= 4 * REMEMBERED:
+        if len(self.compatible) >= PAIRS_REMEMBERED:
             self.compatible.clear()
         self.compatible[left << 32 | right] = found
         return found

@@ -47,7 +47,9 @@ HELD_OUT_FOLDS = 5
 
 _WORD = re.compile(r"[^\W\d_]+")
 _REPEAT = re.compile(r"(.)\1{4,}")
-_REMEMBERED = 300_000
+# Words that a task remembers, and terms that it counts before it hands them on.
+_REMEMBERED = 1 << 16
+_COUNTED = 300_000
 # Bits of the filter that keeps documents without a label out of the join.
 _LABEL_BITS = 1 << 26
 
@@ -152,7 +154,7 @@ def _term_counts(docs: DataFrame) -> DataFrame:
                         terms = known[word] = word_terms(word)
                     found.update(terms)
                 counts[toxic].update(found)
-            if len(counts[0]) + len(counts[1]) >= _REMEMBERED:
+            if len(counts[0]) + len(counts[1]) >= _COUNTED:
                 yield flush()
         yield flush()
 
