@@ -232,3 +232,12 @@ def test_sentencepiece_remembers_a_bounded_number_of_segments():
     assert len(codec.remembered) <= 1 << 17 and len(codec.older) <= 1 << 17
     assert [codec.decode(ids) for ids in coded[-3:]] == texts[-3:]
     assert sentpiece.Codec(sentpiece.read_model()).encode(texts[-1]) == coded[-1]
+
+
+def test_sentencepiece_cuts_punctuation_off_and_keeps_ids_packed(model, library):
+    codec = sentpiece.Codec(model)
+    text = " ".join(f"Wort{mark}" for mark in (".", ",", "!", ").", "...", "%%%", "’,", "².", "\r.", "7", "x2", "\n")) + "x²=y_z «Ja», …"
+    ids = codec.packed(text)
+    assert isinstance(ids, bytes) and memoryview(ids).cast("i").tolist() == library.encode(text)
+    assert [s for s in codec.remembered if "Wort" in s] == ["▁Wort", "▁Wortx"]  # one segment whatever follows the word
+    assert all(type(found) is bytes for found in codec.remembered.values())

@@ -6,8 +6,9 @@ has one last token. An automaton over all pieces lists the pieces that end at ea
 compatible with the last token before it is stored, and the ids are read backwards from the end. Whether two tokens are
 compatible is found by merging the pair alone, and remembered.
 
-Text is cut before each run of word-boundary marks and around line feeds where no piece of the vocabulary crosses; such
-segments encode on their own, and short ones are remembered within a task's process (up to a fixed number).
+Text is cut before each run of word-boundary marks, around line feeds and around punctuation and digits where no piece
+of the vocabulary crosses; such segments encode on their own, and short ones are remembered within a task's process (up
+to a fixed number). Ids are kept as packed bytes from there to the Arrow column.
 
 Null and empty texts have no ids and decode to the empty text. Every text decodes to itself, but for U+2581, which
 stands for a space. Ties and repeated rows play no part; other columns pass through, except that columns named as an
@@ -18,11 +19,13 @@ surface, bytes that are no UTF-8 become U+FFFD, an id outside the vocabulary rai
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import groupby
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -39,6 +42,38 @@ LONGEST_REMEMBERED = 48
 _BATCH = 512
 
 
+class _Remembered(dict):
+    """Packed ids of segments, found by `ids_of` when asked for first. Two generations, so that frequent segments survive
+    when the newer one is full."""
+
+    def __init__(self, ids_of: Callable[[str], bytes]):
+        self.ids_of = ids_of
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, segment: str) -> bytes:
+        found = self.older.get(segment) or self.ids_of(segment)
+        if len(segment) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[segment] = found
+        return found
+
+
+class _Compatible(dict):
+    """Whether two tokens, as left * size + right, are the encoding of their text; found by `pair` when asked for first."""
+
+    def __init__(self, size: int, pair: Callable[[int, int], bool]):
+        self.size, self.pair = size, pair
+
+    def __missing__(self, both: int) -> bool:
+        found = self.pair(*divmod(both, self.size))
+        if len(self) >= PAIRS_REMEMBERED:
+            self.clear()
+        self[both] = found
+        return found
+
+
 class Codec:
     """Encoder and decoder of one model, given as the bytes of its file."""
 
@@ -46,7 +81,7 @@ class Codec:
         import sentencepiece
 
         table = sentencepiece.SentencePieceProcessor(model_proto=model)
-        n = table.get_piece_size()
+        self.size = n = table.get_piece_size()
         self.unknown = table.unk_id()
         self.surfaces: list[bytes] = []
         self.rank: dict[str, float] = {}
@@ -79,11 +114,23 @@ class Codec:
         elif any("\n" in pair for pair in self.joined):
             self.segments = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
         else:
-            self.segments = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+").findall
-        self.compatible: dict[int, bool] = {}
-        # Two generations, so that frequent segments survive when the newer one is full.
-        self.remembered: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+            self.segments = re.compile(self._cuts()).findall
+        self.compatible = _Compatible(n, self._pair)
+        self.remembered = _Remembered(lambda segment: array("i", self._segment(segment)).tobytes())
+
+    @property
+    def older(self) -> dict[str, bytes]:
+        return self.remembered.older
+
+    def _cuts(self) -> str:
+        """The pattern of segments: runs of marks go with what follows, punctuation and digits stand apart from the rest."""
+        others = {c for c in map(chr, range(33, 127)) if not c.isalpha()}
+        pairs = [pair for pair in self.joined if MARK not in pair]
+        # What is next to one of them within a piece is one of them, so that no piece crosses.
+        while more := {c for a, b in pairs if (a in others) != (b in others) for c in (a, b)} - others:
+            others |= more
+        own = re.escape("".join(sorted(others)))
+        return f"{MARK}*[^{MARK}\n{own}]+|{MARK}*[{own}]+|{MARK}+|\n+"
 
     def _merged(self, text: str) -> list[str]:
         """Merge the characters of a short text, best pair first, leftmost first among equals."""
@@ -100,31 +147,22 @@ class Codec:
         return parts
 
     def _pair(self, left: int, right: int) -> bool:
-        """Whether two tokens are the encoding of their text."""
+        """Whether two tokens are the encoding of their text; `size` on the left stands for the start of a text."""
+        if left == self.size:
+            return True
         a, b = self.piece[left], self.piece[right]
-        found = a[-1] + b[0] not in self.joined or self._merged(a + b) == [a, b]
-        if len(self.compatible) >= PAIRS_REMEMBERED:
-            self.compatible.clear()
-        self.compatible[left << 32 | right] = found
-        return found
+        return a[-1] + b[0] not in self.joined or self._merged(a + b) == [a, b]
 
     def _known_segment(self, text: str) -> list[int]:
         """The ids of characters of the vocabulary: fill the table of last tokens, then walk back."""
-        last = [0] * (len(text) + 1)  # last token of the prefix of each length; 0: not found yet, -1: the start
-        last[0] = -1
-        remembered = self.compatible.get
+        last = [0] * (len(text) + 1)  # last token of the prefix that ends with each character, 0: not found yet
+        last[-1] = size = self.size  # the start, one before the first character
+        compatible = self.compatible
         for end, (token, length) in self.automaton.iter(text):
-            end += 1
-            if not last[end]:
-                before = last[end - length]
-                if before:
-                    if before > 0:
-                        fits = remembered(before << 32 | token)
-                        if not (self._pair(before, token) if fits is None else fits):
-                            continue
-                    last[end] = token
-        ids, lengths, at = [], self.length, len(text)
-        while at:
+            if not last[end] and (before := last[end - length]) and compatible[before * size + token]:
+                last[end] = token
+        ids, lengths, at = [], self.length, len(text) - 1
+        while at >= 0:
             token = last[at]
             ids.append(token)
             at -= lengths[token]
@@ -142,27 +180,30 @@ class Codec:
                 ids += [self.byte_ids[b] for b in "".join(run).encode("utf-8", "surrogatepass")]
         return ids
 
-    def encode(self, text: str | None) -> list[int]:
+    def packed(self, text: str | None) -> bytes:
+        """The ids of a text as 32-bit integers side by side."""
         if not text:
-            return []
-        known, ids = self.remembered, []
-        for segment in self.segments(MARK + text.replace(" ", MARK)):
-            found = known.get(segment)
-            if found is None:
-                found = self.older.get(segment) or self._segment(segment)
-                if len(segment) <= LONGEST_REMEMBERED:
-                    if len(known) >= REMEMBERED:
-                        self.older, self.remembered = known, {}
-                        known = self.remembered
-                    known[segment] = found
-            ids += found
-        return ids
+            return b""
+        return b"".join(map(self.remembered.__getitem__, self.segments(MARK + text.replace(" ", MARK))))
+
+    def encode(self, text: str | None) -> list[int]:
+        return _unpacked(self.packed(text)).tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         raw = b"".join(map(self.surfaces.__getitem__, ids))
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+def _unpacked(ids: bytes) -> memoryview:
+    return memoryview(ids).cast("i")
+
+
+def _column(packed: list[bytes]) -> pa.ListArray:
+    """One list of ids for each text."""
+    ends = np.cumsum([0, *map(len, packed)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
 @lru_cache(maxsize=2)
 def codec(model: bytes) -> Codec:
     """One codec for each process and model."""
@@ -199,7 +240,7 @@ _DECODED = T.StructField("decoded", T.StringType())
 
 def encode(docs: DataFrame, model: bytes) -> DataFrame:
     """`docs` with `ids`, the encoding of `text`."""
-    return _with(docs, [_IDS], lambda batch: [pa.array(map(codec(model).encode, batch.column("text").to_pylist()), pa.list_(pa.int32()))])
+    return _with(docs, [_IDS], lambda batch: [_column([*map(codec(model).packed, batch.column("text").to_pylist())])])
 
 
 def decode(docs: DataFrame, model: bytes) -> DataFrame:
@@ -214,7 +255,7 @@ def round_trip(docs: DataFrame, model: bytes) -> DataFrame:
 
     def both(batch):
         own = codec(model)
-        ids = [own.encode(text) for text in batch.column("text").to_pylist()]
-        return [pa.array(ids, pa.list_(pa.int32())), pa.array(map(own.decode, ids), pa.string())]
+        ids = [own.packed(text) for text in batch.column("text").to_pylist()]
+        return [_column(ids), pa.array((own.decode(_unpacked(i)) for i in ids), pa.string())]
 
     return _with(docs, [_IDS, _DECODED], both)
