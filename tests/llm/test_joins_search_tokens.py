@@ -241,3 +241,21 @@ def test_sentencepiece_cuts_punctuation_off_and_keeps_ids_packed(model, library)
     assert isinstance(ids, bytes) and memoryview(ids).cast("i").tolist() == library.encode(text)
     assert [s for s in codec.remembered if "Wort" in s] == ["▁Wort", "▁Wortx"]  # one segment whatever follows the word
     assert all(type(found) is bytes for found in codec.remembered.values())
+
+
+def test_bitmaps_reach_the_driver_once_and_only_where_they_hold_a_bit(spark, monkeypatch):
+    values = [None, 0, 7, *range(1, 3000)]
+    few = spark.createDataFrame([(v,) for v in values], "v long").repartition(8)
+    many = spark.range(0, 800_000, 1, 8).select((jaccard.F.col("id") % 400_000).alias("v"))
+    sent = []
+    frame = type(few)
+    collect, iterate = frame.collect, frame.toLocalIterator
+    monkeypatch.setattr(frame, "collect", lambda self: [sent.append(len(r[-1])) or r for r in collect(self)])
+    monkeypatch.setattr(frame, "toLocalIterator", lambda self, *a: (sent.append(len(r[-1])) or r for r in iterate(self, *a)))
+    for table, marked, bits, most in ((few, [v or 0 for v in values], 1 << 26, 20_000), (many, range(400_000), 1 << 20, 1 << 17), (few, [v or 0 for v in values], 1 << 10, 1 << 7)):
+        sent.clear()
+        expected = np.zeros(bits, bool)
+        expected[jaccard._mark(np.array(marked), bits)] = True
+        assert jaccard._bitmap(table, "v", bits) == np.packbits(expected).tobytes()
+        assert 0 < sum(sent) <= most
+    assert jaccard._bitmap(few.limit(0), "v", 1 << 20) == bytes(1 << 17)

@@ -42,6 +42,8 @@ _BATCH = 256
 _PICK_BITS = 1 << 23
 # Bits of the filter that keeps shingles of one class out of the join.
 _LIST_BITS = 1 << 26
+# Bytes of the blocks in which a filter travels.
+_BIT_BLOCK = 1 << 16
 # Further hubs of each list before the rest of the list is joined in full.
 FURTHER_HUBS = 4
 
@@ -166,19 +168,51 @@ def _mark(values: np.ndarray, bits: int) -> np.ndarray:
     return (mix(values.astype(np.int64).view(np.uint64)) % np.uint64(bits)).astype(np.int64)
 
 
+def _packed_bits(own: np.ndarray) -> bytes:
+    """A block of a bitmap; few bytes that hold a bit as (place, byte) pairs, which then are shorter than the block."""
+    at = np.flatnonzero(own)
+    return at.astype("u4").tobytes() + own[at].tobytes() if 5 * len(at) < len(own) else own.tobytes()
+
+
+def _add_bits(own: np.ndarray, packed: bytes) -> None:
+    if len(packed) == len(own):
+        own |= np.frombuffer(packed, "u1")
+    else:
+        n = len(packed) // 5
+        own[np.frombuffer(packed[:4 * n], "u4")] |= np.frombuffer(packed[4 * n:], "u1")
+
+
 def _bitmap(table: DataFrame, column: str, bits: int) -> bytes:
-    """A bit for each value of a column of longs, null counting as 0. The size is fixed: the more values, the less it tells apart."""
+    """A bit for each value of a column of longs, null counting as 0. The size is fixed: the more values, the less it tells
+    apart. Blocks that hold a bit meet in tasks, so that the driver gets each of them once."""
+    block = min(bits // 8, _BIT_BLOCK)
+
+    def rows(blocks) -> pa.RecordBatch:
+        numbers, packed = zip(*blocks)
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(packed, pa.binary())], names=["block", "bits"])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(bits // 8, "u1")  # packed as np.packbits packs: a task holds bits / 8 bytes
         for batch in batches:
             at = np.unique(_mark(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), bits))
             np.bitwise_or.at(found, at >> 3, (np.uint8(128) >> (at & 7).astype("u1")).astype("u1"))
-        yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()])], names=["bits"])
+        for number, own in enumerate(found.reshape(-1, block)):
+            if own.any():
+                yield rows([(number, _packed_bits(own))])
 
-    total = np.zeros(bits // 8, "u1")
-    for row in table.select(column).coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():
-        total |= np.frombuffer(row[0], "u1")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for number, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                _add_bits(met.setdefault(number, np.zeros(block, "u1")), packed)
+        for number, own in met.items():
+            yield rows([(number, _packed_bits(own))])
+
+    form = "block int, bits binary"
+    marked = table.select(column).coalesce(8).mapInArrow(mark, form).repartition("block").mapInArrow(meet, form)
+    total = np.zeros((bits // 8 // block, block), "u1")
+    for number, packed in marked.collect():
+        _add_bits(total[number], packed)
     return total.tobytes()
 
 
