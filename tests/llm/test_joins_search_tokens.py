@@ -187,6 +187,22 @@ def test_groups_meet_ties_repeated_and_null_ids():
         assert [(s, i is None, i or 0) for s, i in found] == sorted(rows)[:7]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_equal_queries_wait_for_one_page_at_one_distance(monkeypatch, seed):
+    monkeypatch.setattr(mtree, "PAGE", 4)
+    monkeypatch.setattr(mtree, "FAN", 4)  # many levels
+    points = np.unique(np.floor(64 * np.random.default_rng(seed).normal(size=(400, 16))), axis=0)
+    tree = _tree_of(points, [[i] for i in range(len(points))])
+    asked = np.repeat(np.arange(0, len(points), 10), 6)
+    own = [int(i) if n % 6 else -1 for n, i in enumerate(asked)]  # the first of six meets its own row
+    query, places, scores = tree.search_all(points[asked], own, 10)
+    products = (points[asked] @ points.T).astype(int)
+    for q in range(len(asked)):
+        want = sorted((-s, i) for i, s in enumerate(products[q].tolist()) if i != own[q])[:10]
+        found = zip((-scores[query == q]).tolist(), tree.ids.take(mtree.pa.array(places[query == q])).to_pylist())
+        assert list(found) == want
+
+
 @pytest.fixture(scope="module")
 def model():
     return sentpiece.read_model()

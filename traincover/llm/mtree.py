@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -222,16 +223,18 @@ class Tree:
         reach = np.full(len(lifted), np.inf)  # distances of the k-th places
         # The root's entries lean on the distance to the first object of the tree, which the root doesn't store.
         everyone = np.arange(len(lifted))
-        heap = [(0.0, 0, everyone, np.zeros(len(lifted)), None)]
+        # A page may wait more than once at the same distance, for different queries: `turn` keeps arrays from being compared.
+        turn = count()
+        heap = [(0.0, 0, next(turn), everyone, np.zeros(len(lifted)), None)]
         while heap:
-            least, node, who, bounds, to_centre = heapq.heappop(heap)
+            least, node, _, who, bounds, to_centre = heapq.heappop(heap)
             if least > reach.max() + _MARGIN:
                 break
             now = bounds <= np.where(reach[who] < np.inf, reach[who], least) + _MARGIN
             later = ~now & (reach[who] == np.inf)
             if later.any():
                 heapq.heappush(heap, (
-                    float(bounds[later].min()), node, who[later], bounds[later], None if to_centre is None else to_centre[later],
+                    float(bounds[later].min()), node, next(turn), who[later], bounds[later], None if to_centre is None else to_centre[later],
                 ))
             if not now.any():
                 continue
@@ -265,7 +268,7 @@ class Tree:
                     if len(some):
                         least_held = held[some, column]
                         heapq.heappush(heap, (
-                            float(least_held.min()), int(children[at]), who[some], least_held, distances[some, column],
+                            float(least_held.min()), int(children[at]), next(turn), who[some], least_held, distances[some, column],
                         ))
 
 
