@@ -203,6 +203,54 @@ def test_equal_queries_wait_for_one_page_at_one_distance(monkeypatch, seed):
         assert list(found) == want
 
 
+def test_a_cut_tree_is_searched_in_parts(monkeypatch):
+    monkeypatch.setattr(mtree, "PAGE", 8)
+    monkeypatch.setattr(mtree, "FAN", 4)
+    rng = np.random.default_rng(12)
+    points = np.unique(np.floor(64 * rng.normal(size=(700, 5))), axis=0)
+    lifted = mtree._lifted(points)
+    builder = mtree.Builder(lifted, 1)
+    root = builder.build(np.arange(len(points)), lifted[0])
+    pages = mtree.pa.Table.from_pylist([{
+        "node": 0 if n == root else n + 1, "leaf": leaf, "n": len(r), "objects": lifted[r].tobytes(), "radii": radii.tobytes(),
+        "to_parent": d.tobytes(), "children": (c + 1).astype("i4").tobytes(), "ids": [[int(i) % 300 or None] for i in r] if leaf else [],
+    } for n, (leaf, r, radii, d, c) in enumerate(builder.nodes)])
+    pages = pages.take(rng.permutation(len(pages)))
+    own = [int(i) for i in range(0, 200)]
+    found = mtree._Found(len(own), 6)
+    for a in range(0, len(pages), 23):
+        tree = mtree.Tree(pages.slice(a, 23))
+        query, places, scores = tree.search_all(points[:200], own, 6, found.floors())
+        found.take(query, scores, tree.ids.take(mtree.pa.array(places)))
+    got = list(zip(found.query.tolist(), found.scores.tolist(), found.ids.to_pylist()))
+    want = []
+    for q, i in enumerate(own):
+        rows = sorted((-int(s), at % 300 == 0, at % 300) for at, s in enumerate(points @ points[q]) if at % 300 != i or at % 300 == 0)
+        want += [(q, -s, i or None) for s, _, i in rows[:6]]
+    assert got == want
+
+
+def test_topk_when_ids_repeat_or_are_null(spark):
+    rng = np.random.default_rng(14)
+    vectors = [rng.normal(size=4).astype("f4").tolist() for _ in range(12)]
+    rows = [(20, vectors[0])] * 9 + [(i, vectors[0]) for i in range(1, 13)] + [(5, v) for v in vectors] + [(None, v) for v in vectors * 30]
+    got = mtree.topk(mtree.quantised(_table(spark, rows)), mtree.F.expr("vec_id = 20"), k=4, trees=3)
+    usable = [(i, np.floor(64 * np.array(v))) for i, v in rows]
+    best = sorted((-int(usable[0][1] @ w), i is None, i or 0) for i, w in usable if i != 20)
+    want = sorted((s, none, i) for s, none, i in best * 9)[:4]  # each of the nine rows meets the same ones
+    assert [(-r.score, r.vec_id is None, r.vec_id or 0) for r in got.orderBy("rank").collect()] == want
+    parts = mtree.build_index(mtree.quantised(_table(spark, rows)), 3, 4).where("leaf").groupBy("tree").sum("n").collect()
+    assert sum(r[1] for r in parts) == 12 and len(parts) > 1  # an entry for each vector, in several trees
+
+
+def test_a_block_reads_the_index_where_it_lies(spark):
+    rows = [(i, v) for i, v in enumerate(np.random.default_rng(15).normal(size=(200, 4)).astype("f4").tolist())]
+    index = mtree.stage(mtree.build_index(mtree.quantised(_table(spark, rows)), 40, 20), "mtree-test")
+    found = mtree.search(spark.sparkContext.broadcast({}), index)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+
+
 @pytest.fixture(scope="module")
 def model():
     return sentpiece.read_model()

@@ -13,8 +13,10 @@ takes no part for that query. Equal scores go to the smaller vec_id, null ids la
 answer can need. Repeated ids are rows of their own, except that a query never meets rows of its own id. Fewer
 candidates than k give fewer rows. An empty table gives an empty result. Other columns are ignored.
 
-Scale: a tree holds a bounded number of vectors, each is built and searched where it lies, and its node rows are written once.
-Queries go in blocks of bounded size, broadcast one block at a time, whose best k of each tree are merged by a ranking.
+Scale: vectors are dealt by their components, so that neither null nor repeated ids meet in one tree. A tree holds a bounded
+number of vectors and its node rows are written once. Queries go in blocks of bounded size, a few of them broadcast at a time. A
+block reads the node rows where they lie, in a few tasks; a task keeps the best k of its trees so far, whose k-th places bound
+the search of the next one. A tree that is cut between tasks is searched in parts: a page without its parent is a root.
 """
 
 from __future__ import annotations
@@ -22,15 +24,15 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import reduce
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traincover.session import stage
+from traincover.session import bound_batches, stage
 
 FACTOR = 64
 K = 20
@@ -39,9 +41,12 @@ FAN = 64
 TREE_VECTORS = 65_536
 LEAST_TREES = 8
 BLOCK_QUERIES = 16_384
-# Queries that search a tree together, and queries whose results leave a task at a time.
-GROUP_QUERIES = 256
-FOUND_QUERIES = 4_096
+# Blocks that are searched side by side, so that no core waits for the last task of a block.
+BLOCKS_AT_ONCE = 4
+# Queries that search a tree together, rows that leave a task at a time, and tasks of a block for each core.
+GROUP_QUERIES = 512
+FOUND_ROWS = 65_536
+TASKS_A_CORE = 2
 _MARGIN = 1e-6
 
 NODES = "tree int, node int, leaf boolean, n int, objects binary, radii binary, to_parent binary, children binary, ids array<array<long>>"
@@ -120,23 +125,20 @@ def _lifted(points: np.ndarray) -> np.ndarray:
 def build_index(vectors: DataFrame, trees: int, k: int = K) -> DataFrame:
     """Node rows of M-trees over `vectors` (vec_id, v). Page 0 of a tree is its root."""
     # Rows of one length make a tree of their own.
-    dealt = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(trees)).cast("int").alias("part"), F.size("v").alias("width"), "vec_id", "v")
-    # Equal vectors make one entry; no answer needs more than the k + 1 smallest of their ids (one may be the query's own).
-    # So a vector that makes up much of the table arrives as a few rows.
-    merged = dealt.mapInArrow(_merge_equal(k + 1), "part int, width int, v array<double>, ids array<long>")
-    tree = F.xxhash64("part", "width")
+    dealt = vectors.select(F.pmod(F.xxhash64("v"), F.lit(trees)).cast("int").alias("part"), F.size("v").alias("width"), "vec_id", "v")
+    # Equal vectors make one entry, with the ids that an answer can need. So a vector that makes up much of the table
+    # arrives as a few rows.
+    merged = dealt.mapInArrow(_merge_equal(k), "part int, width int, v array<double>, ids array<long>")
     keyed = merged.withColumn("tree", (F.col("part") + trees * F.col("width")).cast("int"))
-    sorted_rows = keyed.repartition(trees, tree).sortWithinPartitions("tree")
+    sorted_rows = keyed.repartitionById(trees, "part").sortWithinPartitions("tree")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, table in _groups(batches, "tree"):
             points = table["v"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
-            lists = table["ids"].to_pylist()
+            lists = table["ids"].combine_chunks()
             points, inverse = np.unique(points, axis=0, return_inverse=True)
-            ids: list[list] = [[] for _ in range(len(points))]
-            for at, some in zip(inverse.ravel(), lists):
-                ids[at] += some
-            ids = [sorted(some, key=lambda i: (i is None, i or 0))[: k + 1] for some in ids]
+            entry = np.repeat(inverse.ravel(), pc.list_value_length(lists).to_numpy())
+            ids = _needed(entry, lists.flatten(), k).to_pylist()
             lifted = _lifted(points)
             builder = Builder(lifted, int(number))
             root = builder.build(np.arange(len(points)), lifted[0])
@@ -153,24 +155,53 @@ def build_index(vectors: DataFrame, trees: int, k: int = K) -> DataFrame:
     return sorted_rows.mapInArrow(build, NODES)
 
 
-def _merge_equal(keep: int):
+def _needed(entry: np.ndarray, ids: pa.Array, k: int) -> pa.ListArray:
+    """The ids of each entry that an answer can need, null ids last. `entry`: the number of each id's entry, none is left out.
+
+    No answer has more than k rows, so an id counts k times at most; without a query's own id the first 2 k still hold k.
+    """
+    null, values = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+    order = np.lexsort((values, null, entry))
+    entry, null, values = entry[order], null[order], values[order]
+    another = np.diff(entry, prepend=-1) != 0
+    another[1:] |= (values[1:] != values[:-1]) | (null[1:] != null[:-1])
+    kept = _ranks(another) < k
+    entry, null, values = entry[kept], null[kept], values[kept]
+    kept = _ranks(np.diff(entry, prepend=-1) != 0) < 2 * k
+    entry, null, values = entry[kept], null[kept], values[kept]
+    offsets = np.append(np.flatnonzero(np.diff(entry, prepend=-1)), len(entry))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64(), mask=null))
+
+
+def _ranks(starts: np.ndarray) -> np.ndarray:
+    """The place of each row in its run, from 0. `starts`: where a run begins."""
+    at = np.arange(len(starts))
+    return at - np.maximum.accumulate(np.where(starts, at, 0))
+
+
+def _merge_equal(k: int):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups: dict[tuple, list] = {}
-            for part, width, i, v in zip(*(batch.column(c).to_pylist() for c in ("part", "width", "vec_id", "v"))):
-                groups.setdefault((part, width, tuple(v)), []).append(i)
-            rows = [(p, w, list(v), sorted(ids, key=lambda i: (i is None, i or 0))[:keep]) for (p, w, v), ids in groups.items() if w]
-            if rows:
-                p, w, v, ids = zip(*rows)
+            widths = batch.column("width")
+            for width in pc.unique(widths).to_pylist():
+                if not width:
+                    continue
+                rows = batch.filter(pc.equal(widths, width))
+                points = rows.column("v").flatten().to_numpy().reshape(-1, width)
+                # A vector has one part, and floor() leaves no negative zero: equal bytes are equal rows.
+                whole = np.ascontiguousarray(points).view(np.dtype((np.void, 8 * width))).ravel()
+                _, first, entry = np.unique(whole, return_index=True, return_inverse=True)
+                ends = pa.array(np.arange(len(first) + 1) * width, pa.int32())
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(p, pa.int32()), pa.array(w, pa.int32()), pa.array(v, pa.list_(pa.float64())), pa.array(ids, pa.list_(pa.int64()))
+                    rows.column("part").take(pa.array(first)), pa.array(np.full(len(first), width), pa.int32()),
+                    pa.ListArray.from_arrays(ends, pa.array(points[first].ravel())), _needed(entry.ravel(), rows.column("vec_id"), k),
                 ], names=["part", "width", "v", "ids"])
 
     return merge
 
 
 class Tree:
-    """The pages of one tree, ready to be searched."""
+    """The pages of one tree, or of a part of it, ready to be searched."""
 
     def __init__(self, table: pa.Table):
         rows = table.to_pylist()
@@ -187,7 +218,9 @@ class Tree:
                 row["leaf"], objects, np.frombuffer(row["radii"]), np.frombuffer(row["to_parent"]),
                 np.frombuffer(row["children"], "i4"), entry, places,
             )
-        objects = self.pages[0][1]
+        below = {int(child) for leaf, *_, children, _, _ in self.pages.values() if not leaf for child in children}
+        self.roots = [node for node in self.pages if node not in below]  # the root, and pages whose parent lies elsewhere
+        objects = self.pages[self.roots[0]][1]
         self.width = objects.shape[1] - 1
         self.square = float((objects[0] ** 2).sum())  # R^2: all lifted vectors have this length
         self.computed = 0
@@ -197,21 +230,44 @@ class Tree:
         _, places, scores = self.search_all(query[None, :], [own], k)
         return list(zip(scores.tolist(), self.ids.take(pa.array(places)).to_pylist()))
 
-    def search_all(self, queries: np.ndarray, own: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row of the query, place of the id, score) of the best k of each row of `queries`, best first."""
+    def search_all(
+        self, queries: np.ndarray, own: list, k: int, floors: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of the query, place of the id, score) of the best k of each row of `queries`, best first; of those, rows
+        below the score in `floors` may be missing."""
         lifted = np.hstack([queries, np.zeros((len(queries), 1))])
         own_places = np.array([self.place.get(i, -1) for i in own], np.int64)
+        floors = self._first_floors(lifted, own_places, np.full(len(queries), -np.inf) if floors is None else floors, k)
         # Queries whose nearest entry of the root is the same want much the same pages.
-        order = np.argsort((lifted @ self.pages[0][1].T).argmax(axis=1), kind="stable")
+        order = np.argsort((lifted @ self.pages[self.roots[0]][1].T).argmax(axis=1), kind="stable")
         found = []
         for start in range(0, len(order), GROUP_QUERIES):
             group = order[start: start + GROUP_QUERIES]
-            best = _Best(len(group), k)
+            best = _Best(floors[group], k)
             self._search_group(lifted[group], own_places[group], best)
             rows, slots = np.nonzero(best.places >= 0)
             found.append((group[rows], best.places[rows, slots], best.scores[rows, slots].astype(np.int64)))
         return tuple(np.concatenate(parts) for parts in zip(*found))
 
+    def _first_floors(self, lifted: np.ndarray, own: np.ndarray, floors: np.ndarray, k: int) -> np.ndarray:
+        """`floors`, where unknown from the leaf to which the nearest routing objects lead. So hardly a query has to open
+        pages one by one until it has k rows, and most pages are opened once for a whole group."""
+        floors = floors.copy()
+        ways = [(self.roots[0], np.flatnonzero(np.isneginf(floors)))]
+        while ways:
+            node, who = ways.pop()
+            leaf, objects, _, _, children, entry, places = self.pages[node]
+            if not leaf:
+                nearest = (lifted[who] @ objects.T).argmax(axis=1)  # all objects are equally long
+                ways += [(int(children[at]), who[nearest == at]) for at in np.unique(nearest) if int(children[at]) in self.pages]
+            elif len(entry) >= k:
+                for a in range(0, len(who), GROUP_QUERIES):
+                    some = who[a: a + GROUP_QUERIES]
+                    scores = (lifted[some] @ objects.T)[:, entry]
+                    scores[places == own[some][:, None]] = -np.inf
+                    floors[some] = np.partition(scores, -k, axis=1)[:, -k]
+        return floors
+
     def _search_group(self, lifted: np.ndarray, own: np.ndarray, best: _Best) -> None:
         """Best-first search of a group: a page is opened once for all queries that may need it then.
 
@@ -220,37 +276,48 @@ class Tree:
         to far pages first.
         """
         base = (lifted**2).sum(axis=1) + self.square
-        reach = np.full(len(lifted), np.inf)  # distances of the k-th places
-        # The root's entries lean on the distance to the first object of the tree, which the root doesn't store.
-        everyone = np.arange(len(lifted))
-        # A page may wait more than once at the same distance, for different queries: `turn` keeps arrays from being compared.
-        turn = count()
-        heap = [(0.0, 0, next(turn), everyone, np.zeros(len(lifted)), None)]
+        reach = np.sqrt(np.maximum(base - 2.0 * best.floors, 0.0))  # distances of the k-th places, as far as they are known
+        # A page waits once, for all queries that still want it: (queries, their least distances there, distances to its
+        # routing object). The heap may hold it more than once, and holds no arrays, which don't compare.
+        heap: list[tuple[float, int]] = []
+        waiting: dict[int, list[tuple]] = {}
+
+        def wait(node: int, who: np.ndarray, bounds: np.ndarray, to_centre: np.ndarray | None) -> None:
+            waiting.setdefault(node, []).append((who, bounds, to_centre))
+            heapq.heappush(heap, (float(bounds.min()), node))
+
+        for root in self.roots:  # distances to a root's routing object are not known
+            wait(root, np.arange(len(lifted)), np.zeros(len(lifted)), None)
         while heap:
-            least, node, _, who, bounds, to_centre = heapq.heappop(heap)
+            least, node = heapq.heappop(heap)
             if least > reach.max() + _MARGIN:
                 break
+            held = waiting.pop(node, None)
+            if held is None:
+                continue
+            who, bounds, to_centre = held[0] if len(held) == 1 else (np.concatenate(parts) for parts in zip(*held))
             now = bounds <= np.where(reach[who] < np.inf, reach[who], least) + _MARGIN
             later = ~now & (reach[who] == np.inf)
             if later.any():
-                heapq.heappush(heap, (
-                    float(bounds[later].min()), node, next(turn), who[later], bounds[later], None if to_centre is None else to_centre[later],
-                ))
-            if not now.any():
+                wait(node, who[later], bounds[later], to_centre[later])
+            if not now.all():
+                who, to_centre = who[now], to_centre[now]
+            if not len(who):
                 continue
-            who = who[now]
             leaf, objects, radii, to_parent, children, entry, places = self.pages[node]
             near = np.arange(len(objects))
             if to_centre is not None:
-                gaps = np.abs(to_centre[now][:, None] - to_parent) - radii
-                near = np.flatnonzero((gaps <= reach[who][:, None] + _MARGIN).any(axis=0))
+                reached = reach[who] + _MARGIN
+                # Most often some query reaches from the nearest to the farthest entry.
+                if not ((to_centre - reached <= to_parent.min()) & (to_centre + reached >= to_parent.max())).any():
+                    near = np.flatnonzero((np.abs(to_centre[:, None] - to_parent) - radii <= reached[:, None]).any(axis=0))
                 if not len(near):
                     continue
             part = objects[near] if len(near) < len(objects) else objects
             self.computed += len(part) * len(who)
             products = lifted[who] @ part.T
             if leaf:
-                scores = np.rint(products)
+                scores = products  # sums of products of integers
                 if len(near) < len(objects) or len(entry) > len(objects):
                     spot = np.full(len(objects), -1)
                     spot[near] = np.arange(len(near))
@@ -265,27 +332,25 @@ class Tree:
                 wanted = held <= reach[who][:, None] + _MARGIN
                 for column, at in enumerate(near):
                     some = np.flatnonzero(wanted[:, column])
-                    if len(some):
-                        least_held = held[some, column]
-                        heapq.heappush(heap, (
-                            float(least_held.min()), int(children[at]), next(turn), who[some], least_held, distances[some, column],
-                        ))
+                    if len(some) and int(children[at]) in self.pages:  # a page elsewhere is a root there
+                        wait(int(children[at]), who[some], held[some, column], distances[some, column])
 
 
 class _Best:
-    """The best k (score, place of the id) of each query of a group so far: greater scores first, then smaller places."""
+    """The best k (score, place of the id) of each query of a group so far: greater scores first, then smaller places.
+    Scores below a query's floor don't count."""
 
-    def __init__(self, queries: int, k: int):
-        self.k = k
-        self.scores, self.places = np.full((queries, k), -np.inf), np.full((queries, k), -1, np.int64)
+    def __init__(self, floors: np.ndarray, k: int):
+        self.k, self.floors = k, floors
+        self.scores, self.places = np.full((len(floors), k), -np.inf), np.full((len(floors), k), -1, np.int64)
 
     def take(self, who: np.ndarray, scores: np.ndarray, places: np.ndarray, own: np.ndarray) -> None:
         """`scores` of the queries `who` with rows at `places`; a query never meets its own place."""
-        floor = self.scores[who, -1]
+        floor = np.maximum(self.scores[who, -1], self.floors[who])
         if scores.shape[1] > self.k and np.isneginf(floor).any():
             others = np.where(places == own[:, None], -np.inf, scores)
             floor = np.maximum(floor, np.partition(others, -self.k, axis=1)[:, -self.k])
-        row, at = np.nonzero(scores >= floor[:, None])
+        row, at = np.divmod(np.flatnonzero(scores >= floor[:, None]), scores.shape[1])
         score, place, query = scores[row, at], places[at], who[row]
         last = self.places[query, -1]
         better = (place != own[row]) & ((last < 0) | (score > self.scores[query, -1]) | (place < last))
@@ -306,26 +371,53 @@ class _Best:
         self.places[query[kept], rank[kept]] = place[order][kept]
 
 
-def search(queries: dict[int, tuple[list, np.ndarray]], index: DataFrame, k: int = K) -> DataFrame:
-    """query_id, vec_id, score: the best k of each tree for each query of one block. `queries`: by width, their ids and
+class _Found:
+    """The best k (score, id) of each query of a block over the trees of a task so far, smaller ids first, null ids last."""
+
+    def __init__(self, queries: int, k: int):
+        self.queries, self.k = queries, k
+        self.query, self.scores, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), pa.array([], pa.int64())
+
+    def floors(self) -> np.ndarray:
+        """The score of each query's k-th place."""
+        out = np.full(self.queries, -np.inf)
+        ends = np.cumsum(np.bincount(self.query, minlength=self.queries))
+        full = np.flatnonzero(np.diff(ends, prepend=0) == self.k)
+        out[full] = self.scores[ends[full] - 1]
+        return out
+
+    def take(self, query: np.ndarray, scores: np.ndarray, ids: pa.Array) -> None:
+        query, scores = np.concatenate([self.query, query]), np.concatenate([self.scores, scores])
+        ids = pa.concat_arrays([self.ids, ids])
+        order = np.lexsort((ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), -scores, query))
+        kept = order[_ranks(np.diff(query[order], prepend=-1) != 0) < self.k]
+        self.query, self.scores, self.ids = query[kept], scores[kept], ids.take(pa.array(kept))
+
+
+def search(queries: Broadcast, index: DataFrame, k: int = K) -> DataFrame:
+    """query_id, vec_id, score: the best k of each task for each query of one block. `queries`: by width, their ids and
     vectors. `index`: a written node table."""
-    shared = index.sparkSession.sparkContext.broadcast(queries)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, _Found] = {}
         for _, table in _groups(batches, "tree"):
             tree = Tree(table)
-            own, vectors = shared.value.get(tree.width, ([], None))
-            for a in range(0, len(own), FOUND_QUERIES):
-                asked = own[a: a + FOUND_QUERIES]
-                query, places, scores = tree.search_all(vectors[a: a + FOUND_QUERIES], asked, k)
+            own, vectors = queries.value.get(tree.width, ([], None))
+            if not own:
+                continue
+            found = held.setdefault(tree.width, _Found(len(own), k))
+            query, places, scores = tree.search_all(vectors, own, k, found.floors())
+            found.take(query, scores, tree.ids.take(pa.array(places)))
+        for width, found in held.items():
+            own = pa.array(queries.value[width][0], pa.int64())
+            for a in range(0, len(found.query), FOUND_ROWS):
+                part = slice(a, a + FOUND_ROWS)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(asked, pa.int64()).take(pa.array(query)), tree.ids.take(pa.array(places)), pa.array(scores)],
-                    names=["query_id", "vec_id", "score"],
+                    [own.take(pa.array(found.query[part])), found.ids[part], pa.array(found.scores[part])], names=["query_id", "vec_id", "score"]
                 )
 
-    # Pages of a tree meet again; they are few next to the work on them.
-    trees = max(1, index.select("tree").distinct().count())
-    return index.repartition(trees, "tree").sortWithinPartitions("tree").mapInArrow(scan, FOUND)
+    # Few tasks, however large the index: each sends up to k rows for every query.
+    return index.coalesce(max(LEAST_TREES, TASKS_A_CORE * index.sparkSession.sparkContext.defaultParallelism)).mapInArrow(scan, FOUND)
 
 
 def _by_width(asked: pa.Table) -> dict[int, tuple[list, np.ndarray]]:
@@ -340,17 +432,25 @@ def _by_width(asked: pa.Table) -> dict[int, tuple[list, np.ndarray]]:
 
 def topk(vectors: DataFrame, is_query: Column, k: int = K, trees: int | None = None, block: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of `vectors` (vec_id, v) that `is_query` picks, against all others."""
+    spark = vectors.sparkSession
+    bound_batches(spark)
     vectors = stage(vectors, "quantised")
     index = stage(build_index(vectors, trees or max(LEAST_TREES, -(-vectors.count() // TREE_VECTORS)), k), "mtree")
     asked = stage(vectors.where(is_query), "mtree-queries")
     blocks = max(1, -(-asked.count() // block))
-    found = []
-    for b in range(blocks):  # each block is bounded; the index is read once for each
-        of_block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
-        found.append(search(_by_width(of_block), index, k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
-    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = []
+    for start in range(0, blocks, BLOCKS_AT_ONCE):  # each block is bounded; the index is read once for each
+        shared = []
+        for b in range(start, min(start + BLOCKS_AT_ONCE, blocks)):
+            of_block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
+            shared.append(spark.sparkContext.broadcast(_by_width(of_block)))
+        met = reduce(DataFrame.unionByName, [search(queries, index, k) for queries in shared])
+        ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        found.append(stage(ranked.select("query_id", "rank", "vec_id", "score"), "mtree-found"))
+        for queries in shared:
+            queries.destroy()
+    return reduce(DataFrame.unionByName, found)
 
 
 def query_table(table: DataFrame, every: int = 20) -> DataFrame:
