@@ -47,7 +47,12 @@ BLOCKS_AT_ONCE = 4
 GROUP_QUERIES = 512
 FOUND_ROWS = 65_536
 TASKS_A_CORE = 2
+# Better rows of a group that wait until they are ranked, for each of its queries; share of a page that is worth picking.
+WAITING_ROWS = 4
+PICKED = 0.75
 _MARGIN = 1e-6
+# Below, single precision holds every integer; so it does every partial sum of q.x, none being above |q| |x|.
+_SINGLE = 2.0**24
 
 NODES = "tree int, node int, leaf boolean, n int, objects binary, radii binary, to_parent binary, children binary, ids array<array<long>>"
 FOUND = "query_id long, vec_id long, score long"
@@ -224,6 +229,16 @@ class Tree:
         self.width = objects.shape[1] - 1
         self.square = float((objects[0] ** 2).sum())  # R^2: all lifted vectors have this length
         self.computed = 0
+        self.single: dict[int, np.ndarray] = {}  # objects of leaves in single precision, as they are wanted
+
+    def _leaf(self, node: int, dtype: np.dtype) -> np.ndarray:
+        """The objects of a leaf, for scores in `dtype`."""
+        objects = self.pages[node][1]
+        if dtype == objects.dtype:
+            return objects
+        if node not in self.single:
+            self.single[node] = objects.astype(dtype)
+        return self.single[node]
 
     def search(self, query: np.ndarray, own, k: int) -> list[tuple[int, int]]:
         """The best k (score, id), by score, then the smaller id."""
@@ -237,6 +252,8 @@ class Tree:
         below the score in `floors` may be missing."""
         lifted = np.hstack([queries, np.zeros((len(queries), 1))])
         own_places = np.array([self.place.get(i, -1) for i in own], np.int64)
+        longest = np.sqrt((lifted**2).sum(axis=1).max(initial=0) * self.square)
+        exact = lifted.astype("f4") if longest < _SINGLE / 2 else lifted
         floors = self._first_floors(lifted, own_places, np.full(len(queries), -np.inf) if floors is None else floors, k)
         # Queries whose nearest entry of the root is the same want much the same pages.
         order = np.argsort((lifted @ self.pages[self.roots[0]][1].T).argmax(axis=1), kind="stable")
@@ -244,7 +261,7 @@ class Tree:
         for start in range(0, len(order), GROUP_QUERIES):
             group = order[start: start + GROUP_QUERIES]
             best = _Best(floors[group], k)
-            self._search_group(lifted[group], own_places[group], best)
+            self._search_group(lifted[group], exact[group], own_places[group], best)
             rows, slots = np.nonzero(best.places >= 0)
             found.append((group[rows], best.places[rows, slots], best.scores[rows, slots].astype(np.int64)))
         return tuple(np.concatenate(parts) for parts in zip(*found))
@@ -268,12 +285,12 @@ class Tree:
                     floors[some] = np.partition(scores, -k, axis=1)[:, -k]
         return floors
 
-    def _search_group(self, lifted: np.ndarray, own: np.ndarray, best: _Best) -> None:
+    def _search_group(self, lifted: np.ndarray, exact: np.ndarray, own: np.ndarray, best: _Best) -> None:
         """Best-first search of a group: a page is opened once for all queries that may need it then.
 
         Pages wait in the order of the least distance that any of their queries can find there. A query without k rows
         yet opens a page only when no nearer one of its own is waiting, so that a neighbour in the group can't send it
-        to far pages first.
+        to far pages first. `exact`: the same queries, in a precision that is enough for scores.
         """
         base = (lifted**2).sum(axis=1) + self.square
         reach = np.sqrt(np.maximum(base - 2.0 * best.floors, 0.0))  # distances of the k-th places, as far as they are known
@@ -313,9 +330,13 @@ class Tree:
                     near = np.flatnonzero((np.abs(to_centre[:, None] - to_parent) - radii <= reached[:, None]).any(axis=0))
                 if not len(near):
                     continue
-            part = objects[near] if len(near) < len(objects) else objects
+            asked = exact if leaf else lifted
+            part = self._leaf(node, exact.dtype) if leaf else objects
+            if len(near) > PICKED * len(objects):
+                near = np.arange(len(objects))
+            part = part[near] if len(near) < len(objects) else part
             self.computed += len(part) * len(who)
-            products = lifted[who] @ part.T
+            products = asked[who] @ part.T
             if leaf:
                 scores = products  # sums of products of integers
                 if len(near) < len(objects) or len(entry) > len(objects):
@@ -323,9 +344,9 @@ class Tree:
                     spot[near] = np.arange(len(near))
                     listed = spot[entry] >= 0
                     scores, places = scores[:, spot[entry[listed]]], places[listed]
-                best.take(who, scores, places, own[who])
-                full = who[best.places[who, -1] >= 0]
-                reach[full] = np.sqrt(np.maximum(base[full] - 2.0 * best.scores[full, -1], 0.0))
+                if best.take(who, scores, places, own[who]):
+                    full = np.flatnonzero(best.places[:, -1] >= 0)
+                    reach[full] = np.sqrt(np.maximum(base[full] - 2.0 * best.scores[full, -1], 0.0))
             else:
                 distances = np.sqrt(np.maximum(base[who][:, None] - 2.0 * products, 0.0))
                 held = np.maximum(distances - radii[near], 0.0)
@@ -334,6 +355,7 @@ class Tree:
                     some = np.flatnonzero(wanted[:, column])
                     if len(some) and int(children[at]) in self.pages:  # a page elsewhere is a root there
                         wait(int(children[at]), who[some], held[some, column], distances[some, column])
+        best.settle()
 
 
 class _Best:
@@ -344,19 +366,36 @@ class _Best:
         self.k, self.floors = k, floors
         self.scores, self.places = np.full((len(floors), k), -np.inf), np.full((len(floors), k), -1, np.int64)
 
-    def take(self, who: np.ndarray, scores: np.ndarray, places: np.ndarray, own: np.ndarray) -> None:
-        """`scores` of the queries `who` with rows at `places`; a query never meets its own place."""
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows (query, score, place) to be ranked
+        self.rows = 0
+
+    def take(self, who: np.ndarray, scores: np.ndarray, places: np.ndarray, own: np.ndarray) -> bool:
+        """`scores` of the queries `who` with rows at `places`; a query never meets its own place. True if all rows taken
+        so far are ranked now; they wait while every query has a floor."""
         floor = np.maximum(self.scores[who, -1], self.floors[who])
         if scores.shape[1] > self.k and np.isneginf(floor).any():
-            others = np.where(places == own[:, None], -np.inf, scores)
+            others = np.where(places == own[:, None], scores.dtype.type(-np.inf), scores)
             floor = np.maximum(floor, np.partition(others, -self.k, axis=1)[:, -self.k])
-        row, at = np.divmod(np.flatnonzero(scores >= floor[:, None]), scores.shape[1])
-        score, place, query = scores[row, at], places[at], who[row]
+        row, at = np.divmod(np.flatnonzero(scores >= floor.astype(scores.dtype)[:, None]), scores.shape[1])
+        score, place, query = scores[row, at].astype("f8"), places[at], who[row]
         last = self.places[query, -1]
         better = (place != own[row]) & ((last < 0) | (score > self.scores[query, -1]) | (place < last))
         score, place, query = score[better], place[better], query[better]
         if not len(query):
+            return False
+        self.waiting.append((query, score, place))
+        self.rows += len(query)
+        if self.rows < WAITING_ROWS * len(self.floors) and not np.isneginf(floor).any():
+            return False
+        self.settle()
+        return True
+
+    def settle(self) -> None:
+        """Rank the rows that wait."""
+        if not self.waiting:
             return
+        query, score, place = (np.concatenate(parts) for parts in zip(*self.waiting))
+        self.waiting, self.rows = [], 0
         touched = np.unique(query)
         old, slot = np.nonzero(self.places[touched] >= 0)
         query = np.concatenate([touched[old], query])
@@ -364,8 +403,7 @@ class _Best:
         place = np.concatenate([self.places[touched[old], slot], place])
         order = np.lexsort((place, -score, query))
         query = query[order]
-        first = np.searchsorted(query, touched)
-        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        rank = _ranks(np.diff(query, prepend=-1) != 0)
         kept = rank < self.k
         self.scores[query[kept], rank[kept]] = score[order][kept]
         self.places[query[kept], rank[kept]] = place[order][kept]
